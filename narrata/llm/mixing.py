@@ -177,6 +177,8 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[tuple[int, int], flo
     steps, _ = solve(cells, [w / (sum(weights) or 1.0) for w in weights])
     out = with_posterior(binned, model).drop(*BINS).withColumn("rate", rate(F.col("p"), steps))
     u = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    # zero, but not deterministic to the optimizer: else it would copy all expressions into a filter on ``copies``
+    u = u + F.least(F.spark_partition_id(), F.lit(0))
     return out.withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("long")), model
 
 
@@ -190,5 +192,5 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict[tuple[int, int], f
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple[int, int], float] | None = None, labelled: int = 12_000) -> DataFrame:
     """The rows of ``docs``, each as often as its copies say."""
     out, _ = rates(docs, labels, targets, labelled)
-    again = out.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    again = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
     return again.select(*docs.columns)

@@ -129,27 +129,77 @@ _STATE: dict = {}
 class Encoder:
     """Ids of texts. Pieces between blanks and line ends are encoded once and remembered.
 
-    That is exact for tokenizers that drop white space and never join pieces across it (``by_word``), as
-    word_bpe_49k does; others get whole texts.
+    That is exact for tokenizers that lower-case, drop white space, keep letters apart from stops and commas and mark
+    word ends (``by_word``), as word_bpe_49k does; others get whole texts. New words of letters only are encoded in one
+    call, blanks between them, and told apart by the tokens that end words; other pieces are encoded one by one.
     """
 
+    LIMIT = 500_000
+
     def __init__(self, path: str, by_word: bool, dtype: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word, self.dtype = Tokenizer.from_file(path), by_word, dtype
+        self.tokenizer, self.by_word, self.dtype = Tokenizer.from_file(path), by_word, np.dtype(dtype)
         self.memo: dict[str, bytes] = {}
+        if by_word:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            for token, i in vocabulary.items():
+                self.ends[i] = token.endswith("</w>")
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: list[str]) -> None:
+        memo, plain, stopped, other = self.memo, [], [], []
+        for p in pieces:
+            if p.isalpha():
+                plain.append(p)
+            elif p[:-1].isalpha() and p[-1] in ".,":
+                stopped.append(p)
+            else:
+                other.append(p)
+        if stopped:
+            for mark in ".,":
+                if mark not in memo:
+                    memo[mark] = self.whole([mark])[0]
+            plain += {p[:-1] for p in stopped}.difference(memo, plain)
+        for at in range(0, len(plain), 1024):
+            words = plain[at : at + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            if len(ends) != len(words):  # letters to us that are none to the tokenizer
+                memo.update(zip(words, self.whole(words), strict=True))
+                continue
+            raw, last = ids.tobytes(), 0
+            for w, end in zip(words, ends.tolist(), strict=True):
+                memo[w] = raw[last:end]
+                last = end
+        if other:
+            memo.update(zip(other, self.whole(other), strict=True))
+        for p in stopped:
+            memo[p] = memo[p[:-1]] + memo[p[-1]]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
-            return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > 600_000:
+            return self.whole(texts)
+        if len(self.memo) > self.LIMIT:
             self.memo.clear()
+        pieces: list[list[str]] = []
+        for t in texts:
+            if "<|" in t:  # may spell a special token
+                pieces.append([])
+                continue
+            try:  # for Latin letters the order of lower-casing and splitting is of no account
+                t.encode("latin-1")
+                t = t.lower()
+            except UnicodeEncodeError:
+                pass
+            pieces.append(t.replace("\n", " ").split(" "))
         if new := list(set().union(*pieces).difference(self.memo)):
-            for k, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.memo[k] = np.array(e.ids, dtype=self.dtype).tobytes()
+            self.learn(new)
         get = self.memo.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        return [b"".join(map(get, p)) if p else self.whole([t])[0] for p, t in zip(pieces, texts, strict=True)]
 
 
 def encoder(path: str, by_word: bool, dtype: str) -> Encoder:
