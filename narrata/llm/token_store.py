@@ -134,7 +134,7 @@ class Encoder:
     call, blanks between them, and told apart by the tokens that end words; other pieces are encoded one by one.
     """
 
-    LIMIT = 500_000
+    LIMIT = 700_000
 
     def __init__(self, path: str, by_word: bool, dtype: str):
         from tokenizers import Tokenizer
@@ -224,8 +224,8 @@ def _cutter(path: str, end_id: int, vocabulary: int, by_word: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = encoder(path, by_word, dtype), set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 400):
+                part = batch.slice(at, 400)
                 out: list[tuple] = []
                 streams = enc.ids([t or "" for t in part.column("text").to_pylist()])
                 for doc_id, raw in zip(part.column("doc_id").to_pylist(), streams, strict=True):
@@ -339,19 +339,21 @@ def _verify(wide: bool):
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        roots, crcs, counts = [], [], []
-        for root, parts in zip(batch.column("root").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-            parts = sorted(parts, key=lambda p: p["seq"])
-            if merkle([p["chunk_id"] for p in parts]) != root or any(p["crc"] is None for p in parts):
+        lists = batch.column("parts")
+        flat, stops = lists.flatten(), lists.offsets.to_pylist()
+        seq, ids, n_ids, crc = (flat.field(i).to_pylist() for i in range(4))
+        roots, crcs, counts = batch.column("root").to_pylist(), [], []
+        for root, lo, hi in zip(roots, stops, stops[1:], strict=False):
+            order = range(lo, hi) if hi - lo == 1 else sorted(range(lo, hi), key=seq.__getitem__)
+            if merkle([ids[k] for k in order]) != root or any(crc[k] is None for k in order):
                 raise ValueError(f"document {root.hex()} can't be put together from its chunks")
-            crc, n = 0, 0
-            for p in parts:
-                crc = crc32_joined(crc, p["crc"], 4 * p["n_ids"])
-                n += p["n_ids"]
-            roots.append(root)
-            crcs.append(crc)
+            c, n = crc[order[0]], n_ids[order[0]]
+            for k in order[1:]:
+                c = crc32_joined(c, crc[k], 4 * n_ids[k])
+                n += n_ids[k]
+            crcs.append(c)
             counts.append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.array(crcs, pa.int64()), pa.array(counts, pa.int64())], names=["root", "ids_crc32", "n_read"])
+        yield pa.RecordBatch.from_arrays([batch.column("root"), pa.array(crcs, pa.int64()), pa.array(counts, pa.int64())], names=["root", "ids_crc32", "n_read"])
 
 
 def read_digests(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
