@@ -67,9 +67,12 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
 class Memo(dict):
     """A bounded table of computed values that Python workers keep between tasks."""
 
-    def __init__(self, make, limit: int = 400_000):
+    every: list[Memo] = []
+
+    def __init__(self, make=None, limit: int = 250_000):
         super().__init__()
         self.make, self.limit = make, limit
+        Memo.every.append(self)
 
     def __missing__(self, key):
         value = self.make(key)
@@ -78,6 +81,13 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def claim(self) -> Memo:
+        """Workers outlive operators: when one begins, what others remembered goes."""
+        for m in Memo.every:
+            if m is not self:
+                m.clear()
+        return self
+
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

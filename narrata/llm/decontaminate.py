@@ -115,6 +115,7 @@ def align(item: np.ndarray, passage: np.ndarray, match: int = 2, mismatch: int =
 
 def _counter(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _WORDS.claim()
         n = np.zeros(len(items.gram), dtype=np.int64)
         for batch in batches:
             for t in batch.column("text").to_pylist():
@@ -153,6 +154,7 @@ def _aligner(items: Items, threshold: float):
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _WORDS.claim()
         for batch in batches:
             out: list[tuple] = []
             for doc_id, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

@@ -80,6 +80,7 @@ def _signer(bands: int, rows: int):
         return h.view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _WORD.claim()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -99,6 +100,7 @@ def _signer(bands: int, rows: int):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Full sets of the texts that stand for a class."""
+    _WORD.claim()
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)

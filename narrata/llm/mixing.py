@@ -66,13 +66,13 @@ def features(docs: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
     t = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("_m_t", t).withColumn("_m_w", _words(F.col("_m_t")))
     n, chars = F.greatest(F.size("_m_w"), F.lit(1)), F.greatest(F.length("_m_t"), F.lit(1))
-    gone = lambda chars_: F.length("_m_t") - F.length(F.translate("_m_t", chars_, ""))
+    found = lambda pattern: F.regexp_count("_m_t", F.lit(pattern))
     hits = lambda words: F.size(F.filter("_m_w", lambda w: w.isin(*words))) if words else F.lit(0)
     distinct = F.array_distinct("_m_w")
     values = {
-        "symbols": gone("#*$%&<>@^~") / n,
-        "upper": F.length(F.regexp_replace("_m_t", "[^\\p{Lu}]+", "")) / chars,
-        "bars": gone("|") / n,
+        "symbols": found("[#*$%&<>@^~]") / n,
+        "upper": found("\\p{Lu}") / chars,
+        "bars": found("[|]") / n,
         "distinct": F.when(F.size("_m_w") < 15, 1.0).otherwise(F.size(distinct) / F.pow(n, F.lit(0.8))),
         "stops": F.when(F.size("_m_w") < 15, 1.0).otherwise(hits(STOP_WORDS) / n),
         "quality_words": hits(lexicon.get("quality", [])),

@@ -81,6 +81,7 @@ def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> np.n
 
 def views(rows: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """rows: text, lang, source, n_chars."""
+    _BUCKET.claim()
     pairs = [(text_view(t), meta_view(a, s, n)) for t, a, s, n in rows]
     return np.stack([p[0] for p in pairs]), np.stack([p[1] for p in pairs])
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_folder, new_folder, parallelism, pick
+from .common import Memo, drop_folder, new_folder, parallelism, pick
 
 ROLL = 16
 FANOUT = 1024
@@ -134,13 +134,13 @@ class Encoder:
     call, blanks between them, and told apart by the tokens that end words; other pieces are encoded one by one.
     """
 
-    LIMIT = 700_000
+    LIMIT = 600_000
 
     def __init__(self, path: str, by_word: bool, dtype: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word, self.dtype = Tokenizer.from_file(path), by_word, np.dtype(dtype)
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = Memo()
         if by_word:
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
             self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -223,6 +223,7 @@ def _cutter(path: str, end_id: int, vocabulary: int, by_word: bool):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = encoder(path, by_word, dtype), set()
+        enc.memo.claim()
         for batch in batches:
             for at in range(0, batch.num_rows, 400):
                 part = batch.slice(at, 400)
