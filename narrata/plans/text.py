@@ -1 +1,129 @@
-"""Queries."""
+"""Text structure and scalar functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import strings as S
+from ..operators import corpus as C
+from ..operators import text as T
+from . import load, query
+from .corpus import english, known_words
+
+LINES = "l AS (SELECT doc_id, unnest(range(len(a))) AS line, unnest(a) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))"
+FLAGS = f"""{LINES}, f AS (SELECT *, trim(s) = '' AS is_blank, regexp_matches(s, '^[ \\t]+[^ \\t]') AS is_indented, length(s) < 40 AS is_short,
+regexp_matches(upper(trim(s)), '{T.SECTION}') OR (regexp_matches(s, '[A-Z]') AND NOT regexp_matches(s, '[a-z]')) AS is_header, regexp_matches(s, '^[ \\t]*[0-9]+[.)]') AS is_numbered FROM l)"""
+TOKENS = "tok AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS w FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z'']+') AS a FROM documents WHERE lang = 'en'))"
+
+
+@query(f"""WITH {FLAGS} SELECT doc_id, count(*) AS n_lines, {', '.join(f"sum({c}::INT)::BIGINT AS {c.replace('is_', 'n_')}" for c in ('is_blank', 'is_indented', 'is_short', 'is_header', 'is_numbered'))} FROM f GROUP BY doc_id""")
+def paragraph_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return T.paragraph_stats(load(spark, sf, "documents"))
+
+
+@query(f"WITH {FLAGS} SELECT doc_id, min(line)::INTEGER AS start_line FROM f WHERE NOT is_blank AND NOT is_short AND NOT is_header AND NOT is_numbered GROUP BY doc_id")
+def text_start(spark: SparkSession, sf: str) -> DataFrame:
+    return T.text_start(load(spark, sf, "documents"))
+
+
+@query(f"WITH {FLAGS} SELECT doc_id, line::INTEGER AS line, s FROM f WHERE is_header AND NOT is_blank AND is_short")
+def section_headers(spark: SparkSession, sf: str) -> DataFrame:
+    return T.line_flags(T.lines(load(spark, sf, "documents"))).filter("is_header and not is_blank and is_short").select("doc_id", "line", "s")
+
+
+@query(f"""WITH {TOKENS}, g2 AS (SELECT doc_id, pos, lower(w) || ' ' || lower(lead(w) OVER d) AS gram FROM tok WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+g3 AS (SELECT doc_id, pos, lower(w) || ' ' || lower(lead(w) OVER d) || ' ' || lower(lead(w, 2) OVER d) AS gram FROM tok WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+e AS (SELECT gram FROM (SELECT * FROM g2 UNION ALL SELECT * FROM g3) WHERE gram IS NOT NULL GROUP BY gram HAVING count(DISTINCT doc_id) >= 40),
+f AS (SELECT doc_id, pos, gram, 2 AS n FROM g2 WHERE gram IN (SELECT gram FROM e) UNION ALL SELECT doc_id, pos, gram, 3 FROM g3 WHERE gram IN (SELECT gram FROM e))
+SELECT doc_id, pos::INTEGER AS pos, arg_max(gram, n) AS entry, max(n)::INTEGER AS n FROM f GROUP BY doc_id, pos""")
+def multiword_longest(spark: SparkSession, sf: str) -> DataFrame:
+    return _multiword(spark, sf)
+
+
+def _multiword(spark: SparkSession, sf: str) -> DataFrame:
+    toks = english(spark, sf)
+    both = T.grams(toks, 2).unionByName(T.grams(toks, 3)).select("doc_id", "gram").distinct()
+    entries = both.groupBy(F.col("gram").alias("entry")).count().filter("count >= 40").select("entry")
+    return T.longest_entries(toks, entries)
+
+
+@query()
+def multiword_cover(spark: SparkSession, sf: str) -> DataFrame:
+    return T.greedy(_multiword(spark, sf))
+
+
+_CLASSES = "CASE WHEN regexp_matches(w, '[0-9]') THEN '--unk_digit--' WHEN regexp_matches(w, '[^A-Za-z0-9\\s]') THEN '--unk_punct--' WHEN regexp_matches(w, '[A-Z]') THEN '--unk_upper--' " + " ".join(
+    f"WHEN regexp_matches(w, '{p}') THEN '--unk_{n}--'" for n, p in (("noun", S.NOUN_SUFFIX), ("verb", S.VERB_SUFFIX), ("adj", S.ADJ_SUFFIX), ("adv", S.ADV_SUFFIX))
+) + " ELSE '--unk--' END"
+
+
+@query(f"WITH {TOKENS} SELECT c AS class, count(*) AS n FROM (SELECT {_CLASSES} AS c FROM tok) GROUP BY c")
+def unk_class(spark: SparkSession, sf: str) -> DataFrame:
+    return english(spark, sf).groupBy(S.unknown_class(F.col("w")).alias("class")).agg(F.count("*").alias("n"))
+
+
+_KIND = "CASE " + " ".join("WHEN regexp_full_match(w, '{}') THEN '{}'".format(p.replace("'", "''"), n) for n, p in S.KINDS) + " END"
+
+
+@query(f"""WITH k AS (SELECT doc_id, unnest(regexp_extract_all(text, '{S.TOKEN_PATTERN.replace("'", "''")}')) AS w FROM documents WHERE lang = 'en') SELECT doc_id, {_KIND} AS kind, count(*) AS n FROM k GROUP BY 1, 2""")
+def token_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    t = C.tokens(load(spark, sf, "documents").filter("lang = 'en'"), S.TOKEN_PATTERN)
+    return t.groupBy("doc_id", S.token_kind(F.col("w")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query()
+def stem_words(spark: SparkSession, sf: str) -> DataFrame:
+    return T.stems(english(spark, sf).select(F.lower("w").alias("word")))
+
+
+_KNOWN = f"{TOKENS}, k AS (SELECT lower(w) AS word FROM tok WHERE length(w) <= 32 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5), v AS (SELECT DISTINCT lower(w) AS word FROM tok)"
+
+
+@query(f"""WITH {_KNOWN}, p(prefix) AS (VALUES ('re'), ('un'), ('in'), ('th'), ('on'), ('over'))
+SELECT v.word, prefix, substr(v.word, length(prefix) + 1) AS rest FROM v JOIN p ON starts_with(v.word, prefix) AND length(v.word) > length(prefix) + 2 WHERE substr(v.word, length(prefix) + 1) IN (SELECT word FROM k)""")
+def prefix_strip(spark: SparkSession, sf: str) -> DataFrame:
+    toks = english(spark, sf)
+    prefixes = spark.createDataFrame([(p,) for p in ("re", "un", "in", "th", "on", "over")], "prefix string")
+    return T.strip_prefix(toks.select(F.lower("w").alias("word")).distinct(), prefixes, known_words(toks))
+
+
+@query()
+def disincline(spark: SparkSession, sf: str) -> DataFrame:
+    """Stems that are known words of their own."""
+    toks = english(spark, sf)
+    known = known_words(toks).withColumnRenamed("word", "stem")
+    return T.stems(toks.select(F.lower("w").alias("word"))).filter("stem <> word").join(known, "stem", "left_semi").select("word", "stem")
+
+
+@query(f"""WITH {TOKENS}, c AS (SELECT doc_id, pos, w, string_agg(w, ' ') OVER (d ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS b, string_agg(w, ' ') OVER (d ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING) AS a FROM tok WINDOW d AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, pos::INTEGER AS pos, w, coalesce(b, '') AS before, coalesce(a, '') AS after FROM c WHERE lower(w) = 'from'""")
+def kwic(spark: SparkSession, sf: str) -> DataFrame:
+    return T.concordance(english(spark, sf), "from")
+
+
+@query("SELECT page_id, replace(url_encode(url), '+', '%20') AS enc, url_decode(replace(url_encode(url), '+', '%20')) = url AS same FROM pages")
+def url_codec(spark: SparkSession, sf: str) -> DataFrame:
+    p = load(spark, sf, "pages")
+    return p.select("page_id", S.url_encoded(F.col("url")).alias("enc"), (S.url_decoded(S.url_encoded(F.col("url"))) == F.col("url")).alias("same"))
+
+
+@query("SELECT p_partkey, lower(list_extract(string_split_regex(regexp_replace(p_name, '[0-9]+$', ''), '[ _]+'), -1)) AS category FROM part")
+def category_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "part").select("p_partkey", S.category(F.col("p_name")).alias("category"))
+
+
+@query(f"""WITH n(w, v) AS (VALUES {', '.join(f"('{x}', {i})" for names in (S.CARDINALS, S.ORDINALS) for i, x in enumerate(names))}), s AS (SELECT unnest(['one', 'Twelfth', 'none', 'twenty']) AS w) SELECT s.w, v AS value FROM s LEFT JOIN n ON lower(s.w) = n.w""")
+def number_words(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([("one",), ("Twelfth",), ("none",), ("twenty",)], "w string").select("w", S.number_word(F.col("w")).alias("value"))
+
+
+@query("""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\s]+')) AS w FROM documents) SELECT doc_id, sum(CASE WHEN regexp_full_match(w, '[A-Za-z''-]+') THEN 1 ELSE 0 END)::BIGINT AS latin, count(*) AS n FROM x GROUP BY doc_id""")
+def filter_non_latin(spark: SparkSession, sf: str) -> DataFrame:
+    t = C.tokens(load(spark, sf, "documents"), "[^\\s]+")
+    return t.groupBy("doc_id").agg(F.sum(S.latin_only(F.col("w")).cast("long")).alias("latin"), F.count("*").alias("n"))
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, pos::INTEGER AS pos, w FROM tok WHERE regexp_matches(w, '(?i)^tion') ORDER BY doc_id, pos LIMIT 31")
+def search_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    return english(spark, sf).filter(F.col("w").rlike("(?i)^tion")).orderBy("doc_id", "pos").limit(31)
