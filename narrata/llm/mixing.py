@@ -101,10 +101,11 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 12_000) -> Bayes:
     word = F.explode(F.array_distinct(F.transform(_words(F.coalesce("text", F.lit(""))), lambda w: F.regexp_replace(w, "[.,;:!?]+$", ""))))
     counts = rows.select("quality", "toxic", word.alias("word")).filter("length(word) > 0").groupBy("word").agg(F.count("*").alias("n"), F.sum("quality").alias("q"), F.sum("toxic").alias("t"))
     least = max(3, n // 300)
+    counts = staged(counts.filter(F.col("n") >= least), "mixing-words")
     lexicon = {}
     for name, having, total in (("quality", F.col("n") - F.col("q"), n - q), ("toxic", F.col("t"), tox)):
         odds = F.log((having + 0.5) / (F.lit(total + 1.0))) - F.log((F.col("n") - having + 0.5) / F.lit(n - total + 1.0))
-        got = counts.filter(F.col("n") >= least).select("word", odds.alias("odds")).filter("odds > 2").orderBy(F.desc("odds"), "word").limit(N_INDICATORS).collect()
+        got = counts.select("word", odds.alias("odds")).filter("odds > 2").orderBy(F.desc("odds"), "word").limit(N_INDICATORS).collect()
         lexicon[name] = sorted({w for r in got for w in (r["word"], f"{r['word']}.", f"{r['word']},")})
     f = features(rows, lexicon)
     pairs = F.explode(F.array(*[F.struct(F.lit(b).alias("f"), F.col(b).alias("bin")) for b in BINS]))
