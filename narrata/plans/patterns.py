@@ -1 +1,60 @@
-"""Queries."""
+"""Span patterns over ``benchmark`` and ``conversations`` texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import patterns as P
+from ..operators.corpus import tokens
+from . import load, query
+
+TOKP = "tok AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS w FROM (SELECT item_id AS doc_id, regexp_extract_all(text, '[A-Za-z]+') AS a FROM benchmark))"
+
+
+def classes() -> dict:
+    w = F.col("w")
+    return {
+        "capital": w.rlike("^[A-Z][a-z]*$"), "short": w.rlike("^[a-z]{1,3}$"), "adj": w.rlike("^[a-z]+(ly|ed|er)$"), "noun": w.rlike("^[a-z]{4,}$"), "number": w.rlike("^[0-9]+$"),
+    }
+
+
+def toks(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens(load(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id"), "[A-Za-z]+")
+
+
+@query(f"""WITH {TOKP}, c AS (SELECT doc_id, pos, regexp_full_match(w, '[A-Z][a-z]*') AS ok FROM tok), j AS (SELECT doc_id, pos, ok AS a, lead(ok) OVER d AS b, lead(ok, 2) OVER d AS c FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, pos::INTEGER AS pos, (pos + 1)::INTEGER AS "end" FROM j WHERE a UNION ALL SELECT doc_id, pos::INTEGER, (pos + 2)::INTEGER FROM j WHERE a AND b UNION ALL SELECT doc_id, pos::INTEGER, (pos + 3)::INTEGER FROM j WHERE a AND b AND c""")
+def pattern_name(spark: SparkSession, sf: str) -> DataFrame:
+    t = toks(spark, sf)
+    return P.match(t, P.forms(t, classes()), P.GRAMMAR[1]).select("doc_id", "pos", "end")
+
+
+@query(f"""WITH {TOKP}, c AS (SELECT doc_id, pos, lower(w) IN ('of', 'in', 'with') AS p, regexp_full_match(w, '[a-z]{{4,}}') AS n FROM tok)
+SELECT a.doc_id, a.pos::INTEGER AS pos, (a.pos + 2)::INTEGER AS "end", 0 AS cost FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.p AND b.n""")
+def pattern_prep_noun(spark: SparkSession, sf: str) -> DataFrame:
+    t = toks(spark, sf)
+    p = P.Pattern("_PN", (P.Element(words={"of": 0, "in": 0, "with": 0}), P.Element({"noun": 0})))
+    return P.match(t, P.forms(t, classes()), p).select("doc_id", "pos", "end", "cost")
+
+
+@query()
+def pattern_np(spark: SparkSession, sf: str) -> DataFrame:
+    """Bottom-up matching of the whole grammar."""
+    t = toks(spark, sf)
+    return P.average_cost(P.bottom_up(t, P.forms(t, classes()), P.GRAMMAR))
+
+
+@query()
+def pattern_winners(spark: SparkSession, sf: str) -> DataFrame:
+    t = toks(spark, sf)
+    return P.cover(P.winners(P.guarded(P.bottom_up(t, P.forms(t, classes()), P.GRAMMAR), t, ["the"])))
+
+
+_DATE = "[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}"
+
+
+@query(f"SELECT o_orderkey, regexp_extract(strftime(o_orderdate, '%Y-%m-%d'), '{_DATE}') AS d, substr(strftime(o_orderdate, '%Y-%m-%d'), 1, 4)::INTEGER AS y FROM orders")
+def pattern_date(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return load(spark, sf, "orders").select("o_orderkey", F.regexp_extract(s, _DATE, 0).alias("d"), F.substring(s, 1, 4).cast("int").alias("y"))
