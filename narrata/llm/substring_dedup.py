@@ -35,8 +35,8 @@ from .common import pick
 
 LENGTH = 50
 GRAM = 8
-SLICE = 3 << 20  # bytes of text that a task cuts at a time
-BUCKET = 1_500_000  # windows in a bucket, on average
+SLICE = 4 << 20  # bytes of text that a task cuts at a time
+BUCKET = 2_000_000  # windows in a bucket, on average
 LAST = (1 << 63) - 1
 _M = np.uint64(0x9E3779B97F4A7C15)
 _X = np.uint64(0xD6E8FEB86659FD93)
@@ -92,8 +92,9 @@ def unpack(blob: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-# keys and doc_ids of the slice's documents; of segments: document, start, windows; their bytes; settled runs: document, start, windows
-_BLOB = ("<i8", "<i8", "<i4", "<i4", "<i4", "u1", "<i4", "<i4", "<i4")
+# doc_ids (as steps) and tags of the documents; of segments: document (as steps), start, windows; their bytes; settled
+# runs: document, start, windows. A tag is 32 bits of the text's hash and tells rows of one doc_id apart.
+_BLOB = ("<i8", "<u4", "<u4", "<i4", "<i4", "u1", "<i4", "<i4", "<i4")
 
 
 def _cutter(buckets: int):
@@ -130,7 +131,7 @@ def _cutter(buckets: int):
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         groups = np.split(keep_[order], cuts) if len(keep_) else []
         names = bucket[order[np.append(0, cuts)]].tolist() if len(keep_) else []
-        keys, doc_ids = np.array([r[0] for r in rows], dtype="<i8"), np.array(ids, dtype="<i8")
+        tags, doc_ids = np.array([r[0] for r in rows], dtype="<u4"), np.array(ids, dtype="<i8")
         none = np.empty(0, dtype="<i4")
         run = runs(doc[settled_], place[settled_] - starts[doc[settled_]], windows[settled_]) if settled else (none,) * 3
         if settled and not groups:
@@ -139,14 +140,14 @@ def _cutter(buckets: int):
             used, local = np.unique(np.concatenate([doc[g], run[0]]), return_inverse=True)
             local = local.astype("<i4")
             body = np.frombuffer(b"".join(joined[p : p + n] for p, n in zip(place[g].tolist(), (windows[g] + LENGTH - 1).tolist(), strict=True)), dtype=np.uint8)
-            yield b, pack(keys[used], doc_ids[used], local[: len(g)], (place[g] - starts[doc[g]]).astype("<i4"), windows[g].astype("<i4"), body, local[len(g) :], run[1].astype("<i4"), run[2].astype("<i4"))
+            yield b, pack(np.diff(doc_ids[used], prepend=0), tags[used], np.diff(local[: len(g)], prepend=0).astype("<u4"), (place[g] - starts[doc[g]]).astype("<i4"), windows[g].astype("<i4"), body, local[len(g) :], run[1].astype("<i4"), run[2].astype("<i4"))
             run = (none,) * 3  # settled runs go along once
 
     def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, hot = [], 0, {}
         names = ["bucket", "blob"]
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("tag", "doc_id", "text")), strict=True):
                 raw = (row[2] or "").encode("utf-8", "surrogatepass")
                 if len(raw) < LENGTH:
                     continue
@@ -260,23 +261,23 @@ def repeated_starts(data: list[bytes], docs: list[int], least: int = LENGTH) ->
     return np.split(where - starts[owner], np.searchsorted(owner, np.arange(1, ends)))
 
 
-FOUND = "key long, start int, n int"
+FOUND = "id long, tag long, start int, n int"
 
 
 def _bucket(table):
-    keys, ids, doc, start, windows, data, settled = [], [], [], [], [], [], []
+    tags, ids, doc, start, windows, data, settled = [], [], [], [], [], [], []
     base = 0
     for blob in table.column("blob").to_pylist():
-        k, i, d, s, w, b, sd, ss, sn = unpack(blob, *_BLOB)
-        keys.append(k)
-        ids.append(i)
-        doc.append(d + base)
+        i, k, d, s, w, b, sd, ss, sn = unpack(blob, *_BLOB)
+        tags.append(k)
+        ids.append(np.cumsum(i))
+        doc.append(np.cumsum(d.view("<i4")) + base)
         start.append(s)
         windows.append(w)
         data.append(b)
         settled.append((sd + base, ss, sn))
         base += len(k)
-    key, doc_id = np.concatenate(keys), np.concatenate(ids)
+    tag, doc_id = np.concatenate(tags).astype(np.int64), np.concatenate(ids)
     doc, start, windows = (np.concatenate(x).astype(np.int64) for x in (doc, start, windows))
     out = [tuple(np.concatenate(x).astype(np.int64) for x in zip(*settled, strict=True))]
     if len(doc):
@@ -308,7 +309,7 @@ def _bucket(table):
                 out.append((np.full(len(at), doc[i]), start[i] + at, np.ones(len(at), dtype=np.int64)))
     d, s, n = (np.concatenate(x) for x in zip(*out, strict=True))
     d, s, n = runs(d, s, n)
-    return pa.table({"key": pa.array(key[d], pa.int64()), "start": pa.array(s, pa.int32()), "n": pa.array(n, pa.int32())})
+    return pa.table({"id": pa.array(doc_id[d], pa.int64()), "tag": pa.array(tag[d], pa.int64()), "start": pa.array(s, pa.int32()), "n": pa.array(n, pa.int32())})
 
 
 def partial(texts: list[bytes], docs: np.ndarray) -> dict[int, np.ndarray]:
@@ -357,14 +358,24 @@ def partial(texts: list[bytes], docs: np.ndarray) -> dict[int, np.ndarray]:
     return {i: np.concatenate(f) for i, f in out.items()}
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    z = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            packed = [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("id"), part.column("tag"), pa.array(packed, pa.binary())], names=["doc_id", "id", "tag", "packed"])
+
+
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    z = zstandard.ZstdDecompressor()
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             out = []
-            for doc_id, text, found in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "found")), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
+            for doc_id, packed, found in zip(*(part.column(c).to_pylist() for c in ("doc_id", "packed", "found")), strict=True):
+                raw = z.decompress(packed)
                 spans: list[list[int]] = []
                 for x in sorted((f["start"], f["n"]) for f in found or []):
                     a, b = x[0], x[0] + x[1] + LENGTH - 1
@@ -383,19 +394,20 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removed_spans(docs: DataFrame, bucket_windows: int = BUCKET) -> DataFrame:
-    """(key, start, n): runs of window starts that go; ``docs`` has key, doc_id and text."""
+    """(id, tag, start, n): runs of window starts that go; ``docs`` has doc_id, tag and text."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_windows))
     packed = docs.mapInArrow(_cutter(buckets), "bucket int, blob binary")
     return packed.groupBy("bucket").applyInArrow(_bucket, FOUND)
 
 
-
-
 def dedup(docs: DataFrame, bucket_windows: int = BUCKET) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row of ``docs`` (doc_id, text)."""
-    rows = pick(docs, doc_id="long", text="string").withColumn("key", F.xxhash64("doc_id", "text"))
-    found = removed_spans(rows, bucket_windows).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("found"))
-    return rows.join(found, "key", "left").select("doc_id", "text", "found").mapInArrow(
+    rows = pick(docs, doc_id="long", text="string").withColumns({
+        "tag": F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)), "id": F.coalesce("doc_id", F.lit(LAST).cast("long")),
+    })
+    found = removed_spans(rows, bucket_windows).groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("found"))
+    packed = rows.mapInArrow(_squeezed, "doc_id long, id long, tag long, packed binary")  # texts are shuffled in compressed form
+    return packed.join(found, ["id", "tag"], "left").select("doc_id", "packed", "found").mapInArrow(
         _cut_texts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
