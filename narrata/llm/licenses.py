@@ -199,7 +199,9 @@ def scan(docs: DataFrame, model: Model, similar: float = 0.6) -> DataFrame:
     n_grams = F.array_distinct(F.flatten(F.transform(F.array(*[F.lit(i) for i in (1, 2, 3)]), lambda m: F.transform(
         F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: i + m - 1 <= F.col("n")), lambda i: F.concat_ws(" ", F.slice("w", i, m))))))
     table = spark.createDataFrame([(g, w) for g, w in model.weights.items()] or [("", [0.0] * k)], "gram string, weights array<double>")  # a few thousand rows
-    hits = cut.select("doc_id", "key", F.explode(n_grams).alias("gram")).join(F.broadcast(table), "gram")
+    # only n-grams with weights become rows
+    used = sorted(model.weights) or [""]
+    hits = cut.withColumn("grams", F.filter(n_grams, lambda g: g.isin(*used))).select("doc_id", "key", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")
     sums = hits.groupBy("doc_id", "key").agg(F.count("*").alias("m"), F.collect_set("gram").alias("grams"), *[F.sum(F.get("weights", i)).alias(f"s{i}") for i in range(k)])
     scores = F.array(*[(F.col(f"s{i}") / F.sqrt("m") + model.bias[i]) / model.temperature for i in range(k)])
     scored = sums.withColumn("z", scores).withColumn("best", F.array_max("z"))
