@@ -194,14 +194,14 @@ def scan(docs: DataFrame, model: Model, similar: float = 0.6) -> DataFrame:
     lines = pick(docs, doc_id="long", text="string").select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n")).alias("line", "p"))
     # a marker occurs in the lower-case paragraph wherever it is one of its words
     some = lines.filter(F.arrays_overlap(F.split(F.lower("p"), "[^\\p{L}\\p{N}]+"), F.array(*map(F.lit, sorted({x for m in model.markers for x in re.split(r"\W+", m) if x})))))
-    cut = some.withColumn("w", word_column(F.col("p"))).withColumn("n", F.size("w")).filter("n > 0")
+    cut = some.withColumn("w", word_column(F.col("p"))).withColumn("n", F.size("w"))
     cut = cut.withColumn("key", F.struct("row", "line"))
     n_grams = F.array_distinct(F.flatten(F.transform(F.array(*[F.lit(i) for i in (1, 2, 3)]), lambda m: F.transform(
-        F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: i + m - 1 <= F.col("n")), lambda i: F.concat_ws(" ", F.slice("w", i, m))))))
+        F.filter(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda i: i + m - 1 <= F.col("n")), lambda i: F.concat_ws(" ", F.slice("w", i, m))))))
     table = spark.createDataFrame([(g, w) for g, w in model.weights.items()] or [("", [0.0] * k)], "gram string, weights array<double>")  # a few thousand rows
-    # only n-grams with weights become rows
+    # only n-grams with weights become rows (outer: else the optimizer would repeat the whole expression in a filter)
     used = sorted(model.weights) or [""]
-    hits = cut.withColumn("grams", F.filter(n_grams, lambda g: g.isin(*used))).select("doc_id", "key", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")
+    hits = cut.withColumn("grams", F.filter(n_grams, lambda g: g.isin(*used))).select("doc_id", "key", F.explode_outer("grams").alias("gram")).join(F.broadcast(table), "gram")
     sums = hits.groupBy("doc_id", "key").agg(F.count("*").alias("m"), F.collect_set("gram").alias("grams"), *[F.sum(F.get("weights", i)).alias(f"s{i}") for i in range(k)])
     scores = F.array(*[(F.col(f"s{i}") / F.sqrt("m") + model.bias[i]) / model.temperature for i in range(k)])
     scored = sums.withColumn("z", scores).withColumn("best", F.array_max("z"))
