@@ -18,7 +18,7 @@ def accepted_books(books: DataFrame, existing: DataFrame, classes: str = "^P[A-Z
     return books.filter(ok).join(existing.select("id"), "id", "left_anti")
 
 
-VERB_CLASS = "struct<_ID:string,MEMBERS:struct<MEMBER:array<struct<_name:string>>>,SUBCLASSES:struct<VNSUBCLASS:array<struct<_ID:string,MEMBERS:struct<MEMBER:array<struct<_name:string>>>>>>>"
+VERB_SCHEMA = "_ID string, MEMBERS struct<MEMBER:array<struct<_name:string>>>, SUBCLASSES struct<VNSUBCLASS:array<struct<_ID:string,MEMBERS:struct<MEMBER:array<struct<_name:string>>>>>>"
 
 
 def verb_members(classes: DataFrame) -> DataFrame:
