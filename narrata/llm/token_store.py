@@ -134,7 +134,7 @@ class Encoder:
     call, blanks between them, and told apart by the tokens that end words; other pieces are encoded one by one.
     """
 
-    LIMIT = 600_000
+    LIMIT = 450_000
 
     def __init__(self, path: str, by_word: bool, dtype: str):
         from tokenizers import Tokenizer
