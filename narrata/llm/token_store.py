@@ -56,14 +56,24 @@ def rolling(ids: np.ndarray, vocabulary: int) -> np.ndarray:
     return h
 
 
-def cuts(ids: np.ndarray, vocabulary: int, mean: int = 512, least: int = 128, most: int = 4096) -> list[int]:
-    """Ends of the chunks: after a place whose hash has zeros in its top bits, within ``least`` and ``most`` ids."""
-    n = len(ids)
+MEAN, LEAST, MOST = 512, 128, 4096
+
+
+def marks(ids: np.ndarray, vocabulary: int, mean: int = MEAN) -> np.ndarray:
+    """Places after ids whose rolling hash has zeros in its top bits.
+
+    Several documents can be marked at once: chunks have more ids than the hash sees, so no place that counts depends
+    on the document before.
+    """
+    return np.flatnonzero(rolling(ids, vocabulary) >> np.uint64(64 - (mean.bit_length() - 1)) == 0) + 1
+
+
+def cuts(n: int, wanted: list[int], least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends of a stream's chunks: marks, with ``least`` to ``most`` ids a chunk (the last may be shorter)."""
     if n <= least:
         return [n]
-    wanted = np.flatnonzero(rolling(ids, vocabulary) >> np.uint64(64 - (mean.bit_length() - 1)) == 0) + 1
     ends, at = [], 0
-    for c in wanted.tolist():
+    for c in wanted:
         if c - at < least:
             continue
         while c - at > most:
@@ -126,6 +136,13 @@ def crc32_joined(first: int, second: int, second_bytes: int) -> int:
 _STATE: dict = {}
 
 
+class Known(Memo):
+    """Ids of words; a new word stands for itself."""
+
+    def __missing__(self, word: str) -> str:
+        return word
+
+
 class Encoder:
     """Ids of texts. Pieces between blanks and line ends are encoded once and remembered.
 
@@ -140,7 +157,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word, self.dtype = Tokenizer.from_file(path), by_word, np.dtype(dtype)
-        self.memo: dict[str, bytes] = Memo()
+        self.memo: dict[str, bytes] = Known()
         if by_word:
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
             self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -196,10 +213,17 @@ class Encoder:
             except UnicodeEncodeError:
                 pass
             pieces.append(t.replace("\n", " ").split(" "))
-        if new := list(set().union(*pieces).difference(self.memo)):
-            self.learn(new)
         get = self.memo.__getitem__
-        return [b"".join(map(get, p)) if p else self.whole([t])[0] for p, t in zip(pieces, texts, strict=True)]
+        found = [list(map(get, p)) for p in pieces]  # ids, or the word itself where it is new
+        places = [[i for i, x in enumerate(f) if x.__class__ is str] for f in found]
+        if new := {f[i] for f, at in zip(found, places, strict=True) for i in at}:
+            self.learn(list(new))
+        out = []
+        for f, at, t in zip(found, places, texts, strict=True):
+            for i in at:
+                f[i] = get(f[i])
+            out.append(b"".join(f) if f else self.whole([t])[0])
+        return out
 
 
 def encoder(path: str, by_word: bool, dtype: str) -> Encoder:
@@ -229,10 +253,16 @@ def _cutter(path: str, end_id: int, vocabulary: int, by_word: bool):
                 part = batch.slice(at, 400)
                 out: list[tuple] = []
                 streams = enc.ids([t or "" for t in part.column("text").to_pylist()])
-                for doc_id, raw in zip(part.column("doc_id").to_pylist(), streams, strict=True):
-                    raw += end
-                    ids, last, addresses = np.frombuffer(raw, dtype=dtype), 0, []
-                    for c in cuts(ids, vocabulary):
+                streams = [raw + end for raw in streams]
+                sizes = [len(raw) // width for raw in streams]
+                stops = np.cumsum(sizes)
+                wanted = marks(np.frombuffer(b"".join(streams), dtype=dtype), vocabulary)
+                split = np.searchsorted(wanted, stops, side="right").tolist()
+                starts = (stops - sizes).tolist()
+                for k, (doc_id, raw) in enumerate(zip(part.column("doc_id").to_pylist(), streams, strict=True)):
+                    own = (wanted[split[k - 1] if k else 0 : split[k]] - starts[k]).tolist()
+                    last, addresses = 0, []
+                    for c in cuts(sizes[k], own):
                         payload = raw[last * width : c * width]
                         address = hashlib.sha256(payload).digest()
                         addresses.append(address)
@@ -243,7 +273,7 @@ def _cutter(path: str, end_id: int, vocabulary: int, by_word: bool):
                             out.append(("chunk", int.from_bytes(address[:8], "little", signed=True), None, None, None, None, address, c - last, payload))
                         last = c
                     root = merkle(addresses)
-                    out.append(("doc", (int.from_bytes(root[:7], "little") + (doc_id or 0)) & 0x7FFFFFFFFFFFFFFF, doc_id, len(ids), addresses, root, None, None, None))
+                    out.append(("doc", (int.from_bytes(root[:7], "little") + (doc_id or 0)) & 0x7FFFFFFFFFFFFFFF, doc_id, sizes[k], addresses, root, None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
     return rows
