@@ -132,7 +132,9 @@ def train(docs: DataFrame, sample: int = 2_000, each: int = 24, l1: float = 2e-4
     share = docs.select(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0
     limit = min(1.0, 4.0 * sample / max(1, share))
     ordinary = [r["p"] for r in rows.filter(F.pmod(F.xxhash64("p"), F.lit(1_000_000)) < int(limit * 1_000_000)).orderBy(F.xxhash64("p"), "p").limit(sample).collect()]
-    plain = [words(p[:20_000]) for p in ordinary]
+    # a paragraph with two or more bigrams of the templates may be a licence itself: it teaches nothing about the others
+    known = {g for ts in TEMPLATES.values() for t in ts for g in grams(words(t), 2) if " " in g}
+    plain = [w for w in map(words, ordinary) if len(known & grams(w, 2)) < 2]
     seen: dict[str, int] = {}
     for w in plain:
         for x in set(w):

@@ -7,7 +7,7 @@ manifest holds the Merkle tree over the recipes' roots, 1024 children a node.
 
 Files under the store's path (Parquet containers, binary payloads):
 
-* ``kind=chunk``: chunk_id binary(32), n_ids int, payload binary (little-endian unsigned 16-bit ids where the
+* ``objects/kind=chunk``: chunk_id binary(32), n_ids int, payload binary (little-endian unsigned 16-bit ids where the
   vocabulary has at most 65,536 entries, else 32-bit);
 * ``recipes``: pid int, doc_id long, start long, n_tokens long, chunk_ids array<binary>, root binary(32);
 * ``manifest``: level int, node long, digest string; the highest level has one node.
@@ -297,8 +297,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabul
     spark = docs.sparkSession
     n = parallelism(spark)
     rows = pick(docs, doc_id="long", text="string").mapInArrow(_cutter(tokenizer, end_id, vocabulary, by_word), STAGE_SCHEMA)
-    rows.repartition(n, "key").mapInArrow(_once, STAGE_SCHEMA).write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    made = spark.read.schema(STAGE_SCHEMA).parquet(path).filter("kind = 'doc'")
+    rows.repartition(n, "key").mapInArrow(_once, STAGE_SCHEMA).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
+    made = spark.read.schema(STAGE_SCHEMA).parquet(f"{path}/objects").filter("kind = 'doc'")
     ordered = (
         made.select("doc_id", "n_tokens", "chunk_ids", "root")
         .repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "root")
@@ -322,7 +322,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabul
     _manifest(spark, path)
 
     drop_folder(spark, f"{path}/_ordered")
-    drop_folder(spark, f"{path}/kind=doc")
+    drop_folder(spark, f"{path}/objects/kind=doc")
 
 
 def _manifest(spark: SparkSession, path: str) -> None:
@@ -387,10 +387,14 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("root"), pa.array(crcs, pa.int64()), pa.array(counts, pa.int64())], names=["root", "ids_crc32", "n_read"])
 
 
+def stored_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("chunk_id binary, payload binary, kind string").parquet(f"{path}/objects").filter("kind = 'chunk'").drop("kind")
+
+
 def read_digests(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
     """One row a document from the store's files: every chunk is held against its address, every document against its
     root, and the checksum of a document's ids is put together from those of its chunks."""
-    chunks = spark.read.schema("chunk_id binary, payload binary").parquet(f"{path}/kind=chunk")
+    chunks = stored_chunks(spark, path)
     checked = chunks.mapInArrow(_verify(vocabulary > 65_536), CHECKED)
     recipes = spark.read.schema("doc_id long, start long, n_tokens long, chunk_ids array<binary>, root binary").parquet(f"{path}/recipes")
     distinct = recipes.select("root", "chunk_ids").dropDuplicates(["root"])  # copies share their recipe
@@ -409,7 +413,7 @@ def read_digests(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
 def read_ids(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
     """(doc_id, start, ids): the documents themselves, put together from their chunks."""
     dtype = "<u4" if vocabulary > 65_536 else "<u2"
-    chunks = spark.read.schema("chunk_id binary, payload binary").parquet(f"{path}/kind=chunk")
+    chunks = stored_chunks(spark, path)
     recipes = spark.read.schema("doc_id long, start long, chunk_ids array<binary>, root binary").parquet(f"{path}/recipes")
     parts = (
         recipes.select("root", "chunk_ids").dropDuplicates(["root"])
