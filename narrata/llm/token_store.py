@@ -136,6 +136,11 @@ def crc32_joined(first: int, second: int, second_bytes: int) -> int:
 _STATE: dict = {}
 
 
+#: How byte-level tokenizers write bytes: printable Latin-1 as it is, the others from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+
+
 class Known(Memo):
     """Ids of words; a new word stands for itself."""
 
@@ -146,9 +151,9 @@ class Known(Memo):
 class Encoder:
     """Ids of texts. Pieces between blanks and line ends are encoded once and remembered.
 
-    That is exact for tokenizers that lower-case, drop white space, keep letters apart from stops and commas and mark
-    word ends (``by_word``), as word_bpe_49k does; others get whole texts. New words of letters only are encoded in one
-    call, blanks between them, and told apart by the tokens that end words; other pieces are encoded one by one.
+    That is exact for byte-level BPE tokenizers that lower-case, drop white space and keep letters apart from stops and
+    commas (``by_word``), as word_bpe_49k does; others get whole texts. A new word of Latin letters is one piece to the
+    tokenizer whatever surrounds it, so it goes to the BPE model directly; other pieces take the tokenizer's whole way.
     """
 
     LIMIT = 450_000
@@ -158,11 +163,8 @@ class Encoder:
 
         self.tokenizer, self.by_word, self.dtype = Tokenizer.from_file(path), by_word, np.dtype(dtype)
         self.memo: dict[str, bytes] = Known()
-        if by_word:
-            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-            for token, i in vocabulary.items():
-                self.ends[i] = token.endswith("</w>")
+        size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1 if by_word else 0
+        self.of_id = [np.array([i], dtype=self.dtype).tobytes() for i in range(size)]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -181,17 +183,14 @@ class Encoder:
                 if mark not in memo:
                     memo[mark] = self.whole([mark])[0]
             plain += {p[:-1] for p in stopped}.difference(memo, plain)
-        for at in range(0, len(plain), 1024):
-            words = plain[at : at + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            ends = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
-            if len(ends) != len(words):  # letters to us that are none to the tokenizer
-                memo.update(zip(words, self.whole(words), strict=True))
-                continue
-            raw, last = ids.tobytes(), 0
-            for w, end in zip(words, ends.tolist(), strict=True):
-                memo[w] = raw[last:end]
-                last = end
+        of, tokenize = self.of_id, self.tokenizer.model.tokenize
+        for w in plain:
+            if w.isascii():
+                memo[w] = b"".join([of[x.id] for x in tokenize(w.lower())])
+            elif max(w) <= "\xff":
+                memo[w] = b"".join([of[x.id] for x in tokenize(w.lower().encode().decode("latin-1").translate(BYTE_LETTERS))])
+            else:
+                other.append(w)
         if other:
             memo.update(zip(other, self.whole(other), strict=True))
         for p in stopped:
