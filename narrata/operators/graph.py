@@ -111,3 +111,27 @@ def coordinates(edges: DataFrame) -> DataFrame:
     thousands that a class hierarchy has are a data error, not a group to pair."""
     a, b = edges.alias("a"), edges.alias("b")
     return a.join(b, F.col("a.parent") == F.col("b.parent")).filter(F.col("a.child") != F.col("b.child")).select(F.col("a.child").alias("node"), F.col("b.child").alias("sister")).distinct()
+
+
+def identified(entities: DataFrame, ontology: DataFrame, acronyms: DataFrame, absent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, new negatives): entities looked up by name, then by what their acronym stands for; known negatives aren't tried."""
+    todo = entities.join(absent, "name", "left_anti")
+    direct = todo.join(ontology, "name").select("name", "class", F.lit("name").alias("by"))
+    rest = todo.join(direct.select("name").distinct(), "name", "left_anti")
+    long = rest.join(acronyms, F.col("name") == F.col("acronym")).join(ontology.withColumnRenamed("name", "meaning"), "meaning").select("name", "class", F.lit("acronym").alias("by"))
+    found = direct.unionByName(long)
+    return found, todo.select("name").distinct().join(found.select("name"), "name", "left_anti")
+
+
+def extended(names: DataFrame, ontology: DataFrame) -> DataFrame:
+    """Longest first: a name with its prepositional extensions ('a of b of c'), cut from the right until one is known."""
+    parts = F.split("name", " of ")
+    cuts = names.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(parts, F.lit(1), k), " of ").alias("cut")))).alias("c"))
+    j = cuts.join(ontology.withColumnRenamed("name", "_n"), F.col("c.cut") == F.col("_n"))
+    return j.groupBy("name").agg(F.max_by("class", "c.k").alias("class"), F.max_by("c.cut", "c.k").alias("matched"))
+
+
+def isa_from_text(sentences: DataFrame) -> DataFrame:
+    """(entity, class) from 'X is a/an/the ... Y' at the beginning of an article's first sentence."""
+    m = "^([A-Z][\\w ]*?) (?:is|was) (?:a|an|the) (?:[a-z]+ )*?([a-z]+)(?:[ ]?[,.]| who| that| which| of| in| from)"
+    return sentences.select(F.regexp_extract("text", m, 1).alias("entity"), F.regexp_extract("text", m, 2).alias("class")).filter("entity <> ''")

@@ -110,3 +110,15 @@ def restrict(grams: DataFrame, vocab: DataFrame) -> DataFrame:
     words = grams.select("n", "gram", F.explode(F.split("gram", " ")).alias("word")).join(vocab.withColumn("_in", F.lit(1)), "word", "left")
     good = words.groupBy("n", "gram").agg(F.count("_in").alias("k")).filter(F.col("k") == F.col("n"))
     return grams.join(good.select("n", "gram"), ["n", "gram"], "left_semi")
+
+
+def mix(models: list[tuple[DataFrame, float]]) -> DataFrame:
+    """Log-linear interpolation: (n, gram, log10) proportional to the product of the models' probabilities, each to the
+    power of its weight, normalised within the context. Models are (n, gram, prob); n-grams missing in one are left out."""
+    out = None
+    for i, (m, w) in enumerate(models):
+        x = m.select("n", "gram", (F.log10("prob") * w).alias(f"_l{i}"))
+        out = x if out is None else out.join(x, ["n", "gram"])
+    out = _parts(out.withColumn("log10", sum((F.col(f"_l{i}") for i in range(len(models))), F.lit(0.0))))
+    z = out.groupBy("n", "context").agg(F.log10(F.sum(F.pow(F.lit(10.0), F.col("log10")))).alias("_z"))
+    return out.join(z, ["n", "context"]).select("n", "gram", (F.col("log10") - F.col("_z")).alias("log10"))

@@ -78,3 +78,35 @@ def followed(hits: DataFrame, least: int = 70, most: int = 10) -> DataFrame:
     w = Window.partitionBy("query").orderBy("rank")
     low = F.sum((F.col("relevance") < least).cast("int")).over(w)
     return hits.withColumns({"_low": low, "_n": F.row_number().over(w)}).filter((F.col("_low") == 0) & (F.col("_n") <= most)).drop("_low", "_n")
+
+
+def accumulated_types(typed: DataFrame, unwanted: list[str]) -> DataFrame:
+    """Confident types (confidence 1) counted for each column; types of unwanted kinds count as zero."""
+    n = typed.filter("confidence = 1").groupBy("tbl", "col", "type").agg(F.count("*").alias("n"))
+    return n.withColumn("n", F.when(F.col("type").isin(*unwanted), 0).otherwise(F.col("n")) if unwanted else F.col("n"))
+
+
+def title_preferred(typed: DataFrame) -> DataFrame:
+    """(tbl, col, preferred): the title's type is preferred where over three quarters of the typed rows match it."""
+    rows = typed.groupBy("tbl", "col", "row").agg(F.bool_or("matches_title").alias("m"))
+    return rows.groupBy("tbl", "col").agg((F.sum(F.col("m").cast("long")) * 4 > F.count("*") * 3).alias("preferred"))
+
+
+def marked_tables(lines: DataFrame, wanted: list[str]) -> DataFrame:
+    """Tables from marked text: 'table: title', 'column: header' and 'entry: text' lines. Tables whose title or header
+    has none of the wanted words are left out. (doc_id, tbl, col, row, title, header, entry)."""
+    w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    kind, value = F.regexp_extract("s", "^(table|column|entry): ?(.*)$", 1), F.regexp_extract("s", "^(table|column|entry): ?(.*)$", 2)
+    t = lines.withColumns({"k": kind, "v": value}).filter("k <> ''")
+    t = t.withColumns({"tbl": F.sum((F.col("k") == "table").cast("int")).over(w), "c": F.sum((F.col("k") == "column").cast("int")).over(w), "title": F.last(F.when(F.col("k") == "table", F.col("v")), True).over(w), "header": F.last(F.when(F.col("k") == "column", F.col("v")), True).over(w)})
+    per = Window.partitionBy("doc_id", "tbl")
+    t = t.filter("k = 'entry'").withColumn("col", F.dense_rank().over(per.orderBy("c")) - 1)
+    t = t.withColumn("row", F.row_number().over(Window.partitionBy("doc_id", "tbl", "c").orderBy("line")) - 1)
+    named = F.lower(F.concat_ws(" ", "title", "header"))
+    ok = F.exists(F.split(named, "[^a-z]+"), lambda x: x.isin(*wanted))
+    return t.filter(ok).select("doc_id", "tbl", "col", "row", "title", "header", F.col("v").alias("entry"))
+
+
+def table_answers(entries: DataFrame, columns: DataFrame, least: int = 50) -> DataFrame:
+    """Entries of coherent columns below the header row; the coherence is their score."""
+    return entries.filter("row > 0").join(columns.filter(F.col("coherence") >= least), ["tbl", "col"]).withColumn("score", F.col("coherence"))

@@ -169,3 +169,29 @@ def import_text(lines: list[str]) -> tuple[Pattern, ...]:
     return tuple(out)
 
 
+
+
+def reduced_parents(parents: DataFrame, links: DataFrame, children: DataFrame) -> DataFrame:
+    """Parents take over what their children's costs fell by: links (parent, child), children (child, saved)."""
+    saved = links.join(children, "child").groupBy("parent").agg(F.sum("saved").alias("_s"))
+    return parents.join(saved, "parent", "left").withColumn("cost", F.col("cost") - F.coalesce("_s", F.lit(0))).drop("_s")
+
+
+def tag_sets(match_: DataFrame, tags: DataFrame) -> DataFrame:
+    """Tags (tag, pos, end) under each match of the same document, as sorted 'tag@pos' lists."""
+    t = tags.select("doc_id", F.col("pos").alias("tpos"), F.col("end").alias("tend"), "tag")
+    j = match_.join(t, (match_["doc_id"] == t["doc_id"]) & (F.col("tpos") >= F.col("pos")) & (F.col("tend") <= F.col("end"))).drop(t["doc_id"])
+    return j.groupBy("doc_id", "pos", "end", "form").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws("@", "tag", F.col("tpos").cast("string")))), ",").alias("tags"))
+
+
+def corrected(toks: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
+    """Class corrections after parsing: (class, class before, class after or '', new class); the first rule that fits."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    t = toks.withColumns({"_b": F.lag("form").over(w), "_a": F.lead("form").over(w)})
+    new = F.col("form")
+    for form, before, after, other in reversed(rules):
+        fits = (F.col("form") == form) & (F.col("_b") == before)
+        if after:
+            fits = fits & (F.col("_a") == after)
+        new = F.when(fits, other).otherwise(new)
+    return t.withColumn("form", new).drop("_b", "_a")

@@ -104,3 +104,41 @@ def two_step(first: DataFrame, second: DataFrame) -> DataFrame:
     """Subquery: the answers of the relative clause become the subjects of the main one."""
     a = first.select("q_id", F.lower("answer").alias("_via"))
     return second.join(a, (second["q_id"] == a["q_id"]) & (F.lower("subject") == F.col("_via"))).drop(a["q_id"]).drop("_via")
+
+
+def transformed(questions: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rewrites: for each rule whose verb is the question's, a copy with the rule's verb, its preposition, and subject
+    and object exchanged where the rule says so. Originals stay."""
+    j = questions.join(F.broadcast(rules.select(F.col("verb").alias("_v"), "new_verb", "new_prep", "swap")), F.col("verb") == F.col("_v"))  # a rule file
+    new = j.select(
+        "q_id", F.when(F.col("swap"), F.col("object")).otherwise(F.col("subject")).alias("subject"), F.col("new_verb").alias("verb"),
+        F.when(F.col("swap"), F.col("subject")).otherwise(F.col("object")).alias("object"), F.coalesce("new_prep", "prep").alias("prep"), "prep_object", "negation",
+    )
+    return questions.unionByName(new.select(*questions.columns))
+
+
+def infobox(questions: DataFrame, facts: DataFrame, properties: dict[str, str], score: int = 1000) -> DataFrame:
+    """Answers that a subject's fact sheet has outright: properties maps question verbs to fact names."""
+    p = F.create_map(*[F.lit(x) for kv in properties.items() for x in kv])
+    q = questions.withColumn("_p", p[F.col("verb")]).filter("_p is not null")
+    return q.join(facts, (F.lower("subject") == F.lower("entity")) & (F.col("_p") == F.col("property"))).select("q_id", F.col("value").alias("answer"), F.lit(score).alias("total"), F.lit(1).alias("confidence"))
+
+
+def parent_group(answers: DataFrame, classes: DataFrame) -> DataFrame:
+    """Keeps answers whose super-classes hold the class that the question asks for, where it asks for one."""
+    ok = answers.join(classes.select(F.lower("node").alias("_n"), F.lower("super").alias("_s")), (F.lower("answer") == F.col("_n")) & (F.lower("wanted") == F.col("_s")), "left_semi")
+    return ok.unionByName(answers.filter("wanted is null"))
+
+
+def constrained(answers: DataFrame) -> DataFrame:
+    """Distinct final answers in any case, the best score of each."""
+    return answers.groupBy("q_id", F.lower("answer").alias("answer")).agg(F.max("final").alias("final"))
+
+
+def staged_answers(*stages: DataFrame) -> DataFrame:
+    """Answers of the first stage that has any, for each question: facts, then best matches, then tables, then proximity."""
+    out = None
+    for s in stages:
+        s = s.select("q_id", "answer", "total")
+        out = s if out is None else out.unionByName(s.join(out.select("q_id").distinct(), "q_id", "left_anti"))
+    return out
