@@ -42,11 +42,13 @@ def adjusted(raw: DataFrame, order: int) -> DataFrame:
 
 
 def discounts(adj: DataFrame) -> DataFrame:
-    """(n, d1, d2, d3); 0.5, 1, 1.5 where one of the count-of-counts is missing."""
+    """(n, d1, d2, d3); 0.5, 1, 1.5 where one of the count-of-counts is missing or a discount isn't within 0 and its count."""
     t = adj.groupBy("n").agg(*[F.sum((F.col("adj") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)])
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     ok = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
     d = lambda j: F.lit(float(j)) - F.lit(float(j + 1)) * y * F.col(f"n{j + 1}") / F.nullif(F.col(f"n{j}"), F.lit(0))
+    for j in (1, 2, 3):
+        ok = ok & F.coalesce((d(j) >= 0) & (d(j) <= j), F.lit(False))
     return t.select("n", *[F.when(ok, d(j)).otherwise(F.lit(0.5 * j)).alias(f"d{j}") for j in (1, 2, 3)])
 
 

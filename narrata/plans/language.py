@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.strings import unknown_class
 from ..operators import hmm as H
 from ..operators import lm as L
+from ..operators.graph import cut
 from . import load, query
 from .text import _CLASSES
 
@@ -89,7 +90,8 @@ r AS (SELECT *, regexp_extract(gram, '[^ ]+$') AS word, CASE WHEN n = 1 THEN ''
 ADJ = f"""{COUNTS}, lf AS (SELECT n - 1 AS n, substr(gram, instr(gram, ' ') + 1) AS gram, count(DISTINCT split_part(gram, ' ', 1)) AS lefts FROM r WHERE n > 1 GROUP BY 1, 2),
 adj AS (SELECT r.n, r.gram, context, word, raw, (CASE WHEN r.n = 1 AND r.gram = '<s>' THEN 0 WHEN r.n = 3 OR split_part(r.gram, ' ', 1) = '<s>' THEN raw ELSE coalesce(lefts, 0) END)::BIGINT AS adj FROM r LEFT JOIN lf ON r.n = lf.n AND r.gram = lf.gram)"""
 DISC = f"""{ADJ}, nn AS (SELECT n, {', '.join(f'sum(CASE WHEN adj = {k} THEN 1 ELSE 0 END)::DOUBLE AS n{k}' for k in (1, 2, 3, 4))} FROM adj GROUP BY n),
-disc AS (SELECT n, {', '.join(f'CASE WHEN n1 > 0 AND n2 > 0 AND n3 > 0 AND n4 > 0 THEN {j}.0::DOUBLE - {j + 1}.0::DOUBLE * (n1 / (n1 + 2 * n2)) * n{j + 1} / n{j} ELSE {0.5 * j}::DOUBLE END AS d{j}' for j in (1, 2, 3))} FROM nn)"""
+dd AS (SELECT *, {', '.join(f'{j}.0::DOUBLE - {j + 1}.0::DOUBLE * (n1 / (n1 + 2 * n2)) * n{j + 1} / nullif(n{j}, 0) AS e{j}' for j in (1, 2, 3))} FROM nn),
+disc AS (SELECT n, {', '.join(f'CASE WHEN n1 > 0 AND n2 > 0 AND n3 > 0 AND n4 > 0 AND e1 BETWEEN 0 AND 1 AND e2 BETWEEN 0 AND 2 AND e3 BETWEEN 0 AND 3 THEN e{j} ELSE {0.5 * j}::DOUBLE END AS d{j}' for j in (1, 2, 3))} FROM dd)"""
 UNI = f"""{DISC}, a AS (SELECT adj.*, CASE WHEN adj = 1 THEN d1 WHEN adj = 2 THEN d2 ELSE d3 END AS d FROM adj JOIN disc USING (n) WHERE adj > 0),
 c AS (SELECT n, context, sum(adj) AS total, sum(d) AS taken FROM a GROUP BY 1, 2), u AS (SELECT a.n, gram, a.context, word, (adj - d) / total AS p, taken / total AS gamma FROM a JOIN c ON a.n = c.n AND a.context = c.context)"""
 PROB = f"""{UNI}, v AS (SELECT count(*) + 1 AS v FROM adj WHERE n = 1 AND word <> '<s>'), p1 AS (SELECT n, gram, p + gamma / v AS prob FROM u, v WHERE n = 1),
@@ -108,7 +110,8 @@ def lm_adjusted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _adj(spark: SparkSession, sf: str) -> DataFrame:
-    return L.adjusted(L.counts(sentences(spark, sf), ORDER), ORDER)
+    """Counted once: discounts, probabilities and weights read the same table."""
+    return cut(L.adjusted(L.counts(sentences(spark, sf), ORDER), ORDER))
 
 
 @query(f"WITH {DISC} SELECT n::INTEGER AS n, d1, d2, d3 FROM disc")
@@ -136,7 +139,7 @@ f AS (SELECT sent, coalesce(q3, coalesce(q2, q1 * coalesce(b2, 1)) * coalesce(b3
 SELECT sent, round(sum(log10(p)), 6) AS log10, sum(CASE WHEN p IS NULL THEN 1 ELSE 0 END)::BIGINT AS oov, count(*) AS n FROM f GROUP BY sent""")
 def lm_score(spark: SparkSession, sf: str) -> DataFrame:
     a = _adj(spark, sf)
-    d = L.discounts(a)
+    d = cut(L.discounts(a))
     q = load(spark, sf, "benchmark").select(F.col("item_id").alias("sent"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("words"))
     return L.score(q, L.probabilities(a, d, ORDER), L.backoffs(a, d), ORDER).withColumn("log10", F.round("log10", 6))
 
