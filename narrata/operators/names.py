@@ -70,3 +70,25 @@ def link(left: DataFrame, right: DataFrame, blocks: list[str]) -> DataFrame:
 def ambiguous(names: DataFrame) -> DataFrame:
     """Last names with more than one first name."""
     return names.groupBy(F.lower("n.last").alias("last")).agg(F.count_distinct(F.lower("n.first")).alias("n_first")).filter("n_first > 1")
+
+
+def parsed(tagged: DataFrame) -> DataFrame:
+    """Names from tagged words (name_id, pos, w, tag): the first word of each slot, a second middle name behind the first,
+    and the gender that the honorific says. Tags are the parts' names."""
+    first = lambda p: F.min_by(F.when(F.col("tag") == p, F.col("w")), F.when(F.col("tag") == p, F.col("pos"))).alias(p)
+    middles = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("tag") == "middle", F.struct("pos", "w")))), lambda x: x["w"]), " ")
+    n = tagged.groupBy("name_id").agg(*[first(p) for p in PARTS if p != "middle"], middles.alias("middle"))
+    hon = F.regexp_replace(F.lower("hon"), "[.]$", "")
+    gender = F.when(hon.isin(*MALE), "male").when(hon.isin(*FEMALE), "female")
+    return n.select("name_id", F.struct(*[F.when(F.col(p) != "", F.col(p)).alias(p) for p in PARTS], F.lit(0).alias("nick")).alias("n"), gender.alias("gender"))
+
+
+#: Phrases between two names of one thing.
+ALSO = "(?:also known as|known as|better known as|formerly known as|also called|called|nicknamed|aka|a[.]k[.]a[.])"
+
+
+def equivalences(sentences: DataFrame) -> DataFrame:
+    """(name, other) from 'X, known as Y' and its kin; names are runs of capitalised words."""
+    run = "([A-Z][\\w.]*(?: [A-Z][\\w.]*)*)"
+    m = f"{run},? (?:is |was )?{ALSO} (?:the )?{run}"
+    return sentences.select(F.regexp_extract("text", m, 1).alias("name"), F.regexp_replace(F.regexp_extract("text", m, 2), "[.]$", "").alias("other")).filter("name <> ''").distinct()

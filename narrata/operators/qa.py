@@ -142,3 +142,31 @@ def staged_answers(*stages: DataFrame) -> DataFrame:
         s = s.select("q_id", "answer", "total")
         out = s if out is None else out.unionByName(s.join(out.select("q_id").distinct(), "q_id", "left_anti"))
     return out
+
+
+def semantic_check(answers: DataFrame, associations: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """confidence: a quarter of no match where a word of the answer's types (answer, word) is the wanted word, half where
+    it is a synonym of it, else no match."""
+    j = answers.join(associations.select(F.lower("answer").alias("_a"), F.lower("word").alias("_w")), F.lower("answer") == F.col("_a"), "left")
+    s = synonyms.select(F.lower("word").alias("_q"), F.lower("synonym").alias("_v"), F.lit(True).alias("_syn")).distinct()
+    j = j.join(s, (F.lower("wanted") == F.col("_q")) & (F.col("_w") == F.col("_v")), "left")
+    c = F.min(F.when(F.col("_w") == F.lower("wanted"), NO_MATCH // 4).when(F.col("_syn"), NO_MATCH // 2).otherwise(NO_MATCH))
+    return j.groupBy(*answers.columns).agg(c.alias("confidence"))
+
+
+def music_answers(questions: DataFrame, releases: DataFrame) -> DataFrame:
+    """Answers from a release table: questions name what they want (artist, label, title) and give another field's value;
+    the most frequent values win, ties included."""
+    fields = ("artist", "label", "title")
+    given = releases.select("release_id", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in fields])).alias("g"))
+    hits = questions.join(given, (F.col("given") == F.col("g.f")) & (F.lower("value") == F.lower("g.v"))).select("q_id", "wanted", "release_id").distinct()
+    wanted = F.when(F.col("wanted") == "artist", F.col("artist")).when(F.col("wanted") == "label", F.col("label")).otherwise(F.col("title"))
+    found = hits.join(releases, "release_id").select("q_id", wanted.alias("answer")).filter("answer is not null")
+    n = found.groupBy("q_id", "answer").agg(F.count("*").alias("n"))
+    return n.join(n.groupBy("q_id").agg(F.max("n").alias("n")), ["q_id", "n"]).select("q_id", "answer", "n")
+
+
+def identical_particulars(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Objects of two sources that are one: equal normalised keys."""
+    norm = lambda d, p: d.select(F.col("id").alias(p), *[F.regexp_replace(F.lower(k), "[^a-z0-9]+", " ").alias(k) for k in keys])
+    return norm(a, "a").join(norm(b, "b"), keys).select("a", "b")

@@ -154,3 +154,37 @@ def onto_negative_cache(spark: SparkSession, sf: str) -> DataFrame:
     c = load(spark, sf, "customer").select(F.col("c_name").alias("name"), "c_custkey")
     none = spark.createDataFrame([], "acronym string, meaning string")
     return G.identified(c.select("name"), c.filter("c_custkey % 3 = 0").select("name", F.lit("person").alias("class")), none, c.filter("c_custkey % 5 = 0").select("name"))[1]
+
+
+@query("""WITH r AS (SELECT o_orderkey AS release_id, c_mktsegment AS artist, o_orderpriority AS label FROM orders JOIN customer ON o_custkey = c_custkey), q(q_id, value) AS (VALUES (1, 'building'), (2, 'MACHINERY')),
+n AS (SELECT q_id, label AS answer, count(*) AS n FROM q JOIN r ON lower(value) = lower(artist) GROUP BY 1, 2) SELECT q_id, answer, n FROM (SELECT *, rank() OVER (PARTITION BY q_id ORDER BY n DESC) AS k FROM n) WHERE k = 1""")
+def answer_music(spark: SparkSession, sf: str) -> DataFrame:
+    r = load(spark, sf, "orders").join(load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    r = r.select(F.col("o_orderkey").alias("release_id"), F.col("c_mktsegment").alias("artist"), F.col("o_orderpriority").alias("label"), F.lit(None).cast("string").alias("title"))
+    q = spark.createDataFrame([(1, "label", "artist", "building"), (2, "label", "artist", "MACHINERY")], "q_id int, wanted string, given string, value string")
+    return Q.music_answers(q, r)
+
+
+@query("""WITH a AS (SELECT DISTINCT 'user' || (user_id % 40) AS answer, 'click' AS wanted FROM events), t AS (SELECT DISTINCT 'user' || (user_id % 40) AS answer, event_type AS word FROM events WHERE event_id % 50 = 0)
+SELECT a.answer, min(CASE WHEN word = 'click' THEN 25000 WHEN word = 'view' THEN 50000 ELSE 100000 END) AS confidence FROM a LEFT JOIN t ON a.answer = t.answer GROUP BY 1""")
+def answer_semantic(spark: SparkSession, sf: str) -> DataFrame:
+    e = load(spark, sf, "events").select("event_id", F.concat(F.lit("user"), (F.col("user_id") % 40).cast("string")).alias("answer"), F.col("event_type").alias("word"))
+    syn = spark.createDataFrame([("click", "view"), ("error", "view")], "word string, synonym string")
+    return Q.semantic_check(e.select("answer", F.lit("click").alias("wanted")).distinct(), e.filter("event_id % 50 = 0").select("answer", "word").distinct(), syn).select("answer", "confidence")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 AND value > 20 THEN 1 WHEN event_id % 2 = 1 AND event_type = 'view' THEN 2 WHEN event_id % 2 = 1 AND value > 20 THEN 4 WHEN event_id % 2 = 0 AND event_type = 'click' THEN 5 WHEN event_type = 'click' THEN 6 END AS reason FROM events""")
+def tense_match(spark: SparkSession, sf: str) -> DataFrame:
+    no, i = F.lit(False), F.col("event_id")
+    q = F.struct((i % 2 == 0).alias("past"), (i % 2 == 1).alias("present"), no.alias("future"))
+    a = F.struct((F.col("value") > 20).alias("past"), (F.col("event_type") == "view").alias("present"), no.alias("future"), (F.col("event_type") == "click").alias("story"), no.alias("negation"))
+    e = load(spark, sf, "events").select("event_id", q.alias("q"), a.alias("a"))
+    return e.select("event_id", L.tense_match(F.col("q"), F.col("a")).alias("reason"))
+
+
+@query("SELECT c_custkey AS a, s_suppkey AS b FROM customer JOIN supplier ON regexp_replace(lower(c_name), '[^0-9]+', '', 'g') = regexp_replace(lower(s_name), '[^0-9]+', '', 'g')")
+def identical_objects(spark: SparkSession, sf: str) -> DataFrame:
+    number = lambda c: F.regexp_replace(c, "[^0-9]+", "")
+    a = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), number("c_name").alias("name"))
+    b = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), number("s_name").alias("name"))
+    return Q.identical_particulars(a, b, ["name"])

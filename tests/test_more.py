@@ -81,3 +81,14 @@ def test_ontology_lookups(spark):
     assert rows(G.extended(n, o), "name", "class") == [("Bank of England of old", "central bank"), ("Bank of Spain", "firm")]
     s = spark.createDataFrame([("Anna Lee is a Swiss painter.",), ("Anna Lee was an old famous painter who lived.",), ("no match",)], "text string")
     assert rows(G.isa_from_text(s.filter("text not like '%Swiss%'")), "entity", "class") == [("Anna Lee", "painter")]
+
+
+def test_names_from_text(spark):
+    from narrata.operators import names as N
+
+    t = [(1, 0, "Mrs.", "hon"), (1, 1, "Anna", "first"), (1, 2, "B.", "middle"), (1, 3, "C.", "middle"), (1, 4, "Lee", "last"), (2, 0, "Bob", "any")]
+    got = {r["name_id"]: r for r in N.parsed(spark.createDataFrame(t, "name_id int, pos int, w string, tag string")).collect()}
+    assert (got[1]["n"]["first"], got[1]["n"]["middle"], got[1]["n"]["last"], got[1]["gender"]) == ("Anna", "B. C.", "Lee", "female")
+    assert got[2]["n"]["any"] == "Bob" and got[2]["n"]["middle"] is None
+    s = spark.createDataFrame([("Samuel Clemens, better known as Mark Twain, wrote.",), ("He is known as a friend.",), ("The Big River is also called Old Man.",)], "text string")
+    assert rows(N.equivalences(s), "name", "other") == [("Samuel Clemens", "Mark Twain"), ("The Big River", "Old Man")]
