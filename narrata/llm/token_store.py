@@ -156,7 +156,7 @@ class Encoder:
     tokenizer whatever surrounds it, so it goes to the BPE model directly; other pieces take the tokenizer's whole way.
     """
 
-    LIMIT = 450_000
+    LIMIT = 750_000
 
     def __init__(self, path: str, by_word: bool, dtype: str):
         from tokenizers import Tokenizer
@@ -182,7 +182,7 @@ class Encoder:
             for mark in ".,":
                 if mark not in memo:
                     memo[mark] = self.whole([mark])[0]
-            plain += {p[:-1] for p in stopped}.difference(memo, plain)
+            plain += {b for b in (p[:-1] for p in stopped) if b not in memo}.difference(plain)
         of, tokenize = self.of_id, self.tokenizer.model.tokenize
         for w in plain:
             if w.isascii():
