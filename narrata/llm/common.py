@@ -7,9 +7,12 @@ import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIVE = 5  # words in a shingle
@@ -102,6 +105,14 @@ class Memo(dict):
         return self
 
 
+def forget() -> None:
+    """At the beginning of work that needs no remembered values: drop them all."""
+    if any(Memo.every):
+        for m in Memo.every:
+            m.clear()
+        release()
+
+
 def release() -> None:
     """Give freed memory back to the system."""
     pa.default_memory_pool().release_unused()
@@ -109,6 +120,26 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def slices(batch: pa.RecordBatch, rows: int = 400, chars: int = 1_500_000, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most so many rows and about so many bytes of text, however long single texts are."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + chars, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def apart(name: str) -> Column:
+    """A key as it is, but not known to the planner as what its rows are partitioned by.
+
+    A join against aggregates of the same key then shuffles both sides, and adaptive execution can split a key with
+    very many rows, which it can't where the aggregation runs in the join's own stage.
+    """
+    return F.greatest(name, name).alias(name)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import forget, pick
 
 LENGTH = 50
 GRAM = 8
@@ -144,6 +144,7 @@ def _cutter(buckets: int):
             run = (none,) * 3  # settled runs go along once
 
     def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         rows, size, hot = [], 0, {}
         names = ["bucket", "blob"]
         for batch in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, drop_folder, new_folder, parallelism, pick
+from .common import Memo, drop_folder, forget, new_folder, parallelism, pick, slices
 
 ROLL = 16
 FANOUT = 1024
@@ -156,7 +156,7 @@ class Encoder:
     tokenizer whatever surrounds it, so it goes to the BPE model directly; other pieces take the tokenizer's whole way.
     """
 
-    LIMIT = 750_000
+    LIMIT = 600_000
 
     def __init__(self, path: str, by_word: bool, dtype: str):
         from tokenizers import Tokenizer
@@ -248,8 +248,7 @@ def _cutter(path: str, end_id: int, vocabulary: int, by_word: bool):
         enc, seen = encoder(path, by_word, dtype), set()
         enc.memo.claim()
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
+            for part in slices(batch):
                 out: list[tuple] = []
                 streams = enc.ids([t or "" for t in part.column("text").to_pylist()])
                 streams = [raw + end for raw in streams]
@@ -280,6 +279,7 @@ def _cutter(path: str, end_id: int, vocabulary: int, by_word: bool):
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of equal chunks, which the shuffle brought to one partition, the first."""
+    forget()
     seen: set[bytes] = set()
     for batch in batches:
         keep = []
@@ -353,6 +353,7 @@ def _verify(wide: bool):
     dtype = "<u4" if wide else "<u2"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             ids, n, crc = [], [], []
             for a, payload in zip(batch.column("chunk_id").to_pylist(), batch.column("payload").to_pylist(), strict=True):
