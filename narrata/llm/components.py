@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, unstage
+from .common import apart, staged, unstage
 
 
 def _star(edges: DataFrame) -> DataFrame:
     """edges (u, v): each v is linked to the least of u and u's listed neighbours."""
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    linked = edges.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    linked = edges.join(least.select(apart("u"), "m"), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return linked.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
@@ -31,7 +31,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         # large star: to each node's neighbours that are greater than the node
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = (
-            both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b")).filter("a <> b").distinct()
+            both.join(least.select(apart("u"), "m"), "u").filter("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b")).filter("a <> b").distinct()
         )
         # small star: the node and its lesser neighbours
         small = staged(_star(large.select(F.col("a").alias("u"), F.col("b").alias("v"))), "cc")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIVE, Memo, parallelism, pick, staged
+from .common import FIVE, Memo, apart, parallelism, pick, staged
 from .components import components
 
 SET_SCHEMA = "doc_id long, set_id binary, n_shingles int, bands array<long>"
@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     meet = bucket.join(heads, ["band", "h"]).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     blocks = staged(components(meet), "blocks")
     sizes = blocks.join(classes.select("node", "n"), "node").groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
-    sizes = sizes.select("root", F.greatest(F.ceil(F.col("m") / PART_MEMBERS), F.ceil(F.col("w") / PART_WEIGHT)).cast("int").alias("parts"))
+    sizes = sizes.select(apart("root"), F.greatest(F.ceil(F.col("m") / PART_MEMBERS), F.ceil(F.col("w") / PART_WEIGHT)).cast("int").alias("parts"))
     members = (
         blocks.join(sizes, "root")
         .join(classes.select("node", "class_id", "size"), "node")
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     named = classes.select("node", "class_id", "size").join(links, "node", "left").join(roots, "node", "left")
     # a component's name is its least doc_id, not its least digest
     least = named.filter("root is not null").groupBy("root").agg(F.min("class_id").alias("group_id"))
-    named = named.join(least, "root", "left").select(
+    named = named.join(least.select(apart("root"), "group_id"), "root", "left").select(
         F.col("node").alias("set_id"), "class_id", F.coalesce("group_id", "class_id").alias("group_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
     return (
