@@ -141,6 +141,9 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
+MARKS = ".,;:!?#*$%&"
+
+
 class Known(Memo):
     """Ids of words; a new word stands for itself."""
 
@@ -151,8 +154,8 @@ class Known(Memo):
 class Encoder:
     """Ids of texts. Pieces between blanks and line ends are encoded once and remembered.
 
-    That is exact for byte-level BPE tokenizers that lower-case, drop white space and keep letters apart from stops and
-    commas (``by_word``), as word_bpe_49k does; others get whole texts. A new word of Latin letters is one piece to the
+    That is exact for byte-level BPE tokenizers that lower-case, drop white space and keep letters apart from
+    marks (``by_word``), as word_bpe_49k does; others get whole texts. A new word of Latin letters is one piece to the
     tokenizer whatever surrounds it, so it goes to the BPE model directly; other pieces take the tokenizer's whole way.
     """
 
@@ -170,19 +173,19 @@ class Encoder:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
-        memo, plain, stopped, other = self.memo, [], [], []
+        memo, plain, ended, other = self.memo, [], [], []
         for p in pieces:
             if p.isalpha():
                 plain.append(p)
-            elif p[:-1].isalpha() and p[-1] in ".,":
-                stopped.append(p)
+            elif (base := p.rstrip(MARKS)) != p and base.isalpha():
+                ended.append((p, base, p[len(base) :]))
             else:
                 other.append(p)
-        if stopped:
-            for mark in ".,":
-                if mark not in memo:
-                    memo[mark] = self.whole([mark])[0]
-            plain += {b for b in (p[:-1] for p in stopped) if b not in memo}.difference(plain)
+        if ended:  # marks behind letters are a piece of their own to the tokenizer
+            plain += {b for _, b, _ in ended if b not in memo}.difference(plain)
+            marks_ = [m for m in {m for _, _, m in ended} if m not in memo]
+            if marks_:
+                memo.update(zip(marks_, self.whole(marks_), strict=True))
         of, tokenize = self.of_id, self.tokenizer.model.tokenize
         for w in plain:
             if w.isascii():
@@ -193,8 +196,8 @@ class Encoder:
                 other.append(w)
         if other:
             memo.update(zip(other, self.whole(other), strict=True))
-        for p in stopped:
-            memo[p] = memo[p[:-1]] + memo[p[-1]]
+        for p, base, m in ended:
+            memo[p] = memo[base] + memo[m]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
