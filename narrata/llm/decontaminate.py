@@ -1,10 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find candidates, Smith-Waterman alignment scores them.
 
-1. A pass over the documents counts, for each n-gram of the test items, the documents that hold it.
-2. An item's seeds are its n-grams that are rare in the corpus (in at most ``rare`` of the documents), and at least
-   the rarer half of them, so that an item whose text the corpus repeats a thousand times keeps its seeds.
-3. A second pass joins documents to items on seeds and aligns each item with the passage around its hits. The score
-   is the local alignment's (match 2, mismatch -1, gap -1) over that of a perfect copy, so edits lower it gradually.
+1. Every n-gram of a test item is a seed, however often the corpus repeats it and however few of them an edited copy
+   keeps: one hit makes a document and an item a candidate.
+2. An alignment of M matches in r unbroken runs scores at most 2M - (r - 1), which is M + B + 1 for its B = M - r
+   adjacent pairs of matches. Candidates go where the item's words and word pairs that occur in the document, then in
+   the passage around the hits, are too few for the threshold, so hits of frequent n-grams cost little.
+3. The others are aligned with the passage. The score is the local alignment's (match 2, mismatch -1, gap -1) over that
+   of a perfect copy, so edits lower it gradually. The passage is as wide as an alignment over the threshold can be.
+
+What is found are the alignments over the threshold that hold n matching words in a row; a copy edited so densely that
+no n words in a row are left has no seed and is not found.
 
 The test set is the query set: it is dealt into blocks of a bounded number of words and each block meets all
 documents, so what tasks hold doesn't grow with either table. Documents are never shuffled.
@@ -55,6 +60,21 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def spans(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers of many ranges, one range after another."""
+    n = last - first
+    return np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def present(known: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Which of the sorted values are among ``seen``; one more, for no value, is false."""
+    out = np.zeros(len(known) + 1, dtype=bool)
+    if len(known) and len(seen):
+        k = np.minimum(np.searchsorted(known, seen), len(known) - 1)
+        out[k[known[k] == seen]] = True
+    return out
+
+
 class Items:
     """A block of test items and where their n-grams lie."""
 
@@ -75,13 +95,23 @@ class Items:
         self.offset = np.concatenate(offset)[order] if gram else np.empty(0, dtype=np.int64)
         self.gram, self.first = np.unique(g[order], return_index=True)
         self.last = np.append(self.first, len(g))[1:]
-        self.use(np.ones(len(self.gram), dtype=bool))
-
-    def use(self, wanted: np.ndarray) -> None:
-        """Look for these n-grams only."""
-        self.wanted = wanted
         self.screen = np.zeros(1 << 18, dtype=bool)
-        self.screen[(self.gram[wanted] & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+        self.screen[(self.gram & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+        # all items' words in a row, as numbers of distinct words and pairs; an item's last word begins no pair
+        flat = np.concatenate([*self.words, np.empty(0, dtype=np.uint64)])
+        self.end = np.cumsum([len(w) for w in self.words], dtype=np.int64)
+        self.begin = self.end - [len(w) for w in self.words]
+        self.word, self.word_at = np.unique(flat, return_inverse=True)
+        self.pair, self.pair_at = np.unique(grams(flat, 2), return_inverse=True)
+        self.pair_at = np.append(self.pair_at, 0)
+        self.pair_at[self.end[self.end > 0] - 1] = len(self.pair)
+
+    def most(self, h: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """What an alignment of each of these items (none empty) with the words ``h`` can score at most."""
+        n = self.end[items] - self.begin[items]
+        at = spans(self.begin[items], self.end[items])
+        matches = present(self.word, h)[self.word_at[at]].astype(np.int64) + present(self.pair, grams(h, 2))[self.pair_at[at]]
+        return np.add.reduceat(matches, np.cumsum(n) - n) + 1
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a document and the numbers of the n-grams that lie there."""
@@ -91,7 +121,7 @@ class Items:
             places = np.flatnonzero(self.screen[(g & np.uint64((1 << 18) - 1)).astype(np.int64)])
             if len(places):
                 k = np.minimum(np.searchsorted(self.gram, g[places]), len(self.gram) - 1)
-                good = (self.gram[k] == g[places]) & self.wanted[k]
+                good = self.gram[k] == g[places]
                 at.append(places[good])
                 which.append(k[good])
         if not at:
@@ -113,21 +143,6 @@ def align(item: np.ndarray, passage: np.ndarray, match: int = 2, mismatch: int =
     return best, end
 
 
-def _counter(items: Items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _WORDS.claim()
-        n = np.zeros(len(items.gram), dtype=np.int64)
-        for batch in batches:
-            for t in batch.column("text").to_pylist():
-                _, which = items.hits(words(t))
-                if len(which):
-                    n[np.unique(which)] += 1
-        k = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(n[k], pa.int64())], names=["gram", "n"])
-
-    return run
-
-
 def _aligner(items: Items, threshold: float):
     memo: dict = {}
 
@@ -135,11 +150,14 @@ def _aligner(items: Items, threshold: float):
         """Best normalised score of item ``k`` in the document, and its place."""
         w, found = items.words[k], (0.0, 0, 0)
         m = len(w)
+        gaps = int(2 * m * (1 - threshold)) + 1  # more gaps than these leave less than the threshold
         starts = np.sort(places)
-        groups = np.split(starts, np.flatnonzero(np.diff(starts) > m // 2 + 4) + 1)
+        groups = np.split(starts, np.flatnonzero(np.diff(starts) > gaps) + 1)
         for g in groups:
-            lo, hi = max(0, int(g[0]) - m // 2 - 4), min(len(h), int(g[-1]) + m + m // 2 + 4)
+            lo, hi = max(0, int(g[0]) - gaps), min(len(h), int(g[-1]) + m + gaps)
             passage = h[lo:hi]
+            if items.most(passage, np.array([k]))[0] < 2 * threshold * m:
+                continue
             key = (k, passage.tobytes())
             if key not in memo:
                 if len(memo) > 2000:
@@ -162,14 +180,15 @@ def _aligner(items: Items, threshold: float):
                 at, which = items.hits(h)
                 if not len(at):
                     continue
-                reps = items.last[which] - items.first[which]
-                rows = np.repeat(items.first[which], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                item, start = items.item[rows], np.repeat(at, reps) - items.offset[rows]
+                rows = spans(items.first[which], items.last[which])
+                item, start = items.item[rows], np.repeat(at, items.last[which] - items.first[which]) - items.offset[rows]
                 order = np.argsort(item, kind="stable")
-                item, start, offset = item[order], start[order], items.offset[rows][order]
+                item, start = item[order], start[order]
                 cut = np.flatnonzero(np.diff(item)) + 1
-                for k, s, o in zip(item[np.append(0, cut)].tolist(), np.split(start, cut), np.split(offset, cut), strict=True):
-                    if len(np.unique(o)) < min(2, items.seeds[k]):
+                candidates = item[np.append(0, cut)]
+                enough = items.most(h, candidates) >= 2 * threshold * (items.end - items.begin)[candidates]
+                for k, s, good in zip(candidates.tolist(), np.split(start, cut), enough.tolist(), strict=True):
+                    if not good:
                         continue
                     score, a, b = best_passage(k, h, s)
                     if score >= threshold:
@@ -183,7 +202,7 @@ def _aligner(items: Items, threshold: float):
 FOUND = "doc_id long, item_id long, score double, start_word int, end_word int"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float = 1e-4, threshold: float = 0.5, block_words: int = 500_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, block_words: int = 500_000) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word) for documents that hold an item or an edited copy of it."""
     spark = docs.sparkSession
     docs = pick(docs, doc_id="long", text="string")
@@ -196,17 +215,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float
         block = Items([tuple(r) for r in rows], n)
         if not len(block.gram):
             continue
-        counts = np.zeros(len(block.gram), dtype=np.int64)
-        for r in docs.mapInArrow(_counter(block), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-            counts[r["gram"]] = r["n"]
-        most = rare * docs.count()
-        wanted = counts <= most
-        gram_of = np.repeat(np.arange(len(block.gram)), block.last - block.first)
-        for k in range(len(block.words)):  # the rarer half of each item's n-grams
-            mine = np.unique(gram_of[block.item == k])
-            wanted[mine[np.argsort(counts[mine], kind="stable")][: (len(mine) + 1) // 2]] = True
-        block.use(wanted)
-        block.seeds = [int(wanted[np.unique(gram_of[block.item == k])].sum()) for k in range(len(block.words))]
         found = docs.mapInArrow(_aligner(block, threshold), FOUND)
         out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], FOUND)

@@ -279,6 +279,42 @@ def test_decontamination(spark, odd, empty):
     assert D.contaminated(empty, bench).count() == 0 and D.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def edit_every_fifth(text):
+    return " ".join("edited" if k % 5 == 2 else w for k, w in enumerate(text.split()))
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_decontamination_of_copies_with_over_half_of_their_n_grams_broken(spark, copies):
+    rng = random.Random(18)
+    items = [(i, sentence(rng, 30)) for i in range(4)]
+    texts = [sentence(rng, 100) for _ in range(100)]
+    for k in range(copies):
+        texts[k] += " " + edit_every_fifth(items[1][1]) + " " + sentence(rng, 50)
+    # n-grams of the item that other documents hold by chance don't displace what the copies keep
+    w = items[1][1].split()
+    texts[90:] = [f"{t} {' '.join(w[k : k + 3])}" for k, t in enumerate(texts[90:], 5)]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in D.contaminated(docs, bench).collect()}
+    score = D.align(D.words(items[1][1]), D.words(texts[0]))[0] / 60
+    assert 0.6 < score < 0.8 and got == {(k, 1): score for k in range(copies)}
+
+
+def test_decontamination_across_a_long_insertion(spark):
+    rng = random.Random(19)
+    item = sentence(rng, 30)
+    text = " ".join([sentence(rng, 50), *item.split()[:15], *["inserted"] * 25, *item.split()[15:], sentence(rng, 50)])
+    docs, bench = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r["score"] for r in D.contaminated(docs, bench).collect()] == [35 / 60]
+
+
+def test_alignments_score_at_most_their_bound():
+    rng = np.random.default_rng(20)
+    for _ in range(200):
+        texts = [" ".join(map(str, rng.integers(0, 6, rng.integers(1, 12)))) for _ in range(4)]
+        items, h = D.Items(list(enumerate(["", *texts[:3], " "])), 3), D.words(texts[3])
+        assert all(D.align(items.words[k], h)[0] <= most for k, most in zip((1, 2, 3), items.most(h, np.array([1, 2, 3])), strict=True))
+
+
 def test_alignment_against_plain_dynamic_program():
     rng = np.random.default_rng(9)
     for _ in range(60):
