@@ -307,6 +307,13 @@ def test_decontamination_across_a_long_insertion(spark):
     assert [r["score"] for r in D.contaminated(docs, bench).collect()] == [35 / 60]
 
 
+def test_decontamination_by_a_single_n_gram(spark):
+    """Of a short item one n-gram is left; a copy without any has no seed, as the README says."""
+    docs = spark.createDataFrame([(1, "before a X c d Y f g h behind"), (2, "before a b X d e Y g h behind"), (3, "f g h"), (4, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
+    assert [(r["doc_id"], r["score"]) for r in D.contaminated(docs, bench).collect()] == [(1, 10 / 16)]
+
+
 def test_alignments_score_at_most_their_bound():
     rng = np.random.default_rng(20)
     for _ in range(200):
