@@ -4,13 +4,17 @@
    is rare in ordinary paragraphs. A sparse (L1) multinomial logistic regression is trained on the templates, on
    versions of them with words left out, and on paragraphs of the corpus as the unknown class (a bounded sample, by
    hash). Its temperature and the least probability of a prediction are fitted on versions held out.
-2. Scan: a paragraph (line) without a marker has no features, so its prediction is unknown whatever the weights; only
-   paragraphs with markers are cut into n-grams, joined with the weights (a few thousand rows at most) and summed.
-3. A predicted family is confirmed where enough of one of its templates' bigrams occur in the paragraph.
+2. Scan: notices stand on one line or are wrapped over several, so a passage is a line, or neighbouring lines from one
+   with a marker to another with one. A line without words (blank, or a bare comment sign) ends it, and between its
+   first and last line lies no more than twice the longest template. Passages without a marker have no features, so
+   their prediction is unknown whatever the weights; the others are cut into n-grams, across the ends of their lines,
+   joined with the weights (a few thousand rows at most) and summed.
+3. A predicted family is confirmed where enough of one of its templates' bigrams occur in the passage.
+4. Of passages that share lines the best stays: confirmed, of the highest similarity, of the fewest lines.
 
-Words are lower-case runs of letters, digits and dots. Defined results: null and empty texts have no paragraphs; equal
-paragraphs of a document are reported each, by their line numbers from 0; repeated rows give repeated results; extra
-columns are not read; an empty table gives no rows.
+Words are lower-case runs of letters, digits and dots. Defined results: null and empty texts have no passages; equal
+passages of a document are reported each, by the number of their first line from 0; repeated rows give repeated
+results; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -189,15 +193,43 @@ def train(docs: DataFrame, sample: int = 2_000, each: int = 24, l1: float = 2e-4
     return Model(families, {vocabulary[i]: [float(v) for v in delta[i]] for i in kept.tolist()}, [float(v) for v in b[:-1] - b[-1]], float(temperature), min(0.9, least), markers)
 
 
+def passages(docs: DataFrame, markers: list[str]) -> DataFrame:
+    """(doc_id, row, line, last, p): lines with markers, and neighbouring lines from one with a marker to another."""
+    longest = [t for ts in TEMPLATES.values() for t in ts]
+    chars, reach = 2 * max(map(len, longest)), 2 * max(len(words(t)) for t in longest)
+    rows = pick(docs, doc_id="long", text="string").select("doc_id", F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("lines"))
+    # a marker occurs in the lower-case line wherever it is one of its words
+    parts = F.array(*map(F.lit, sorted({x for m in markers for x in re.split(r"\W+", m) if x})))
+    rows = rows.withColumn("marked", F.transform("lines", lambda p: F.arrays_overlap(F.split(F.lower(p), "[^\\p{L}\\p{N}]+"), parts)))
+
+    def ends(s: Column) -> Column:
+        """Lines with markers at which a passage from line ``s`` may end."""
+        start = F.struct(F.lit(0).alias("inside"), F.lit(True).alias("open"), F.array().cast("array<int>").alias("ends"))
+
+        def step(a: Column, i: Column) -> Column:
+            p = F.get("lines", i)
+            goes_on = a["open"] & (a["inside"] <= chars) & p.rlike("[\\p{L}\\p{N}]")
+            return F.struct(
+                (a["inside"] + F.when(i > s, F.length(p)).otherwise(0)).alias("inside"),
+                goes_on.alias("open"),
+                F.when(goes_on & F.get("marked", i), F.concat(a["ends"], F.array(i))).otherwise(a["ends"]).alias("ends"),
+            )
+
+        return F.aggregate(F.sequence(s, F.least(s + reach, F.size("lines") - 1)), start, step, lambda a: a["ends"])
+
+    # line numbers of the marked lines; a text of one line or more has lines
+    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("marked", i))
+    cut = F.flatten(F.transform(starts, lambda s: F.transform(ends(s), lambda e: F.struct(s.alias("line"), e.alias("last"), F.array_join(F.slice("lines", s + 1, e - s + 1), "\n").alias("p")))))
+    # outer: else the optimizer would repeat the whole expression in a filter
+    return rows.filter("lines is not null").select("doc_id", "row", F.explode_outer(cut).alias("x")).filter("x is not null").select("doc_id", "row", "x.*")
+
+
 def scan(docs: DataFrame, model: Model, similar: float = 0.6) -> DataFrame:
-    """(doc_id, line, family, probability, similarity, confirmed) of the paragraphs that have a family."""
+    """(doc_id, line, family, probability, similarity, confirmed) of the passages that have a family."""
     spark: SparkSession = docs.sparkSession
     k = len(model.families)
-    lines = pick(docs, doc_id="long", text="string").select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n")).alias("line", "p"))
-    # a marker occurs in the lower-case paragraph wherever it is one of its words
-    some = lines.filter(F.arrays_overlap(F.split(F.lower("p"), "[^\\p{L}\\p{N}]+"), F.array(*map(F.lit, sorted({x for m in model.markers for x in re.split(r"\W+", m) if x})))))
-    cut = some.withColumn("w", word_column(F.col("p"))).withColumn("n", F.size("w"))
-    cut = cut.withColumn("key", F.struct("row", "line"))
+    cut = passages(docs, model.markers).withColumn("w", word_column(F.col("p"))).withColumn("n", F.size("w"))
+    cut = cut.withColumn("key", F.struct("row", "line", "last"))
     n_grams = F.array_distinct(F.flatten(F.transform(F.array(*[F.lit(i) for i in (1, 2, 3)]), lambda m: F.transform(
         F.filter(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda i: i + m - 1 <= F.col("n")), lambda i: F.concat_ws(" ", F.slice("w", i, m))))))
     table = spark.createDataFrame([(g, w) for g, w in model.weights.items()] or [("", [0.0] * k)], "gram string, weights array<double>")  # a few thousand rows
@@ -219,7 +251,13 @@ def scan(docs: DataFrame, model: Model, similar: float = 0.6) -> DataFrame:
             if t:
                 share = F.size(F.array_intersect("grams", F.array(*map(F.lit, t)))) / F.lit(float(len(t)))
                 best = F.greatest(best, F.when(F.col("family") == f, share).otherwise(0.0))
-    return found.select("doc_id", F.col("key.line").cast("int").alias("line"), "family", F.round("probability", 6).alias("probability"), F.round(best, 6).alias("similarity"), (best >= similar).alias("confirmed"))
+    rated = found.withColumn("similarity", F.round(best, 6)).withColumn("confirmed", best >= similar)
+    # of a document's passages the best first, each that shares no line with one before it
+    order = F.struct((~F.col("confirmed")).alias("open"), (-F.col("similarity")).alias("less"), (F.col("key.last") - F.col("key.line")).alias("more"), F.col("key.line").alias("line"), F.col("key.last").alias("last"),
+                     "family", F.round("probability", 6).alias("probability"), "similarity", "confirmed")
+    ranked = rated.groupBy("doc_id", "key.row").agg(F.sort_array(F.collect_list(order)).alias("ranked"))
+    kept = F.aggregate("ranked", F.slice("ranked", 1, 0), lambda a, x: F.when(F.exists(a, lambda y: (y["line"] <= x["last"]) & (x["line"] <= y["last"])), a).otherwise(F.concat(a, F.array(x))))
+    return ranked.select("doc_id", F.explode_outer(kept).alias("x")).select("doc_id", "x.line", "x.family", "x.probability", "x.similarity", "x.confirmed")
 
 
 def licences(docs: DataFrame) -> DataFrame:

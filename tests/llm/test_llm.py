@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -173,6 +174,21 @@ def test_licences(spark, odd, empty):
     assert L.licences(empty).count() == 0
 
 
+def test_licences_wrapped_over_lines(spark):
+    rng = random.Random(16)
+    whole = {"mit": L.TEMPLATES["mit"][2], "apache-2.0": L.TEMPLATES["apache-2.0"][2], "gpl": L.TEMPLATES["gpl"][1]}
+    docs, expected = [], {}
+    for k, (family, notice) in enumerate(whole.items()):
+        for j, (width, sign, end) in enumerate([(70, "", "\n"), (70, " * ", "\n *\n"), (40, "# ", "\n#\n"), (1, "", "\n\n")]):
+            wrapped = "\n".join(sign + x for x in textwrap.wrap(notice, width, break_long_words=False))
+            docs.append((10 * k + j, sentence(rng, 60) + end + wrapped + end + sentence(rng, 30)))
+            expected[10 * k + j] = family
+    docs.append((90, "\n".join(textwrap.wrap(whole["mit"], 75) + ["Licensed under the Apache License, Version 2.0."] + textwrap.wrap(whole["gpl"], 75))))
+    docs += [(100 + i, sentence(rng, 60) + "\n" + sentence(rng, 30)) for i in range(40)]
+    got = [(r["doc_id"], r["family"], r["confirmed"]) for r in L.licences(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(k, f, True) for k, f in expected.items()] + [(90, f, True) for f in ("apache-2.0", "gpl", "mit")]
+
+
 # -- 5 ----------------------------------------------------------------------------------------------------------
 
 
