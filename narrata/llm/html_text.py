@@ -1,20 +1,16 @@
-"""Main text of web pages by equivalence-class template deduction.
+"""Main text of web pages by element names, word lists and text blocks that a host's pages share.
 
-Pages of a host come from templates. A page is read as a sequence of tokens: opening tags with their paths, and whole
-text blocks. Over the pages of a host,
+This is tag and keyword extraction. Pages are read as sequences of tokens: opening tags with their paths, and whole text
+blocks.
 
-1. every token gets its occurrence vector (how often it occurs on each page). Vectors are never gathered: a sum of
-   hashes of (page, count) stands for each, so tasks add up what they have seen and equal sums mean equal vectors,
-   however many pages a host has;
-2. tokens of equal vectors form equivalence classes; a class is valid where it covers enough pages (large and frequent)
-   and its tokens are nested in tags of valid classes (each enclosing path occurs on at least the same pages);
-3. the valid classes, nested by their paths, are the host's template. What lies between template tokens are slots:
-   text blocks that are no template tokens themselves;
-4. a slot is content where the template puts it in an article (or main) region, or, on hosts whose template has no
-   such region, outside of regions of navigation, headers, footers, sidebars, notices, adverts, forms and comments.
+1. A page with an article (or main) region: its text is the region's, without elements that are furniture by name or by
+   a word of their class, id or role (``FURNITURE``, ``FURNITURE_WORDS``). The host's template isn't looked at, so text
+   inside an article stays even where pages share it.
+2. Other pages: text blocks outside of furniture stay, but for blocks that are tokens of the host's template: those on at
+   least half of its pages whose enclosing path is as frequent. Hosts with few pages use the template of all pages.
 
-Hosts with few pages use the template of all pages together. Text inside an article is content even where pages share
-it: a template token counts as furniture only outside of articles.
+Every token also gets its occurrence vector (a sum of hashes of (page, count)) and tokens of equal vectors a class;
+neither decides which text stays.
 
 Defined results: a null or empty page has an empty text; pages without or with null urls share one host; repeated rows
 are counted as pages of their own; markup that the end of the page cuts off is dropped; extra columns are not read.
@@ -190,7 +186,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template array<struct<token, class, furniture>>): the valid classes of each host, '*' for all hosts.
+    """(host, template array<struct<token, class>>): the frequent nested tokens of each host, '*' for all hosts.
 
     ``pages`` has host, page_id and html. A host's valid tokens are few: each covers half of its pages.
     """
@@ -233,9 +229,9 @@ def _extract(every: list[str]):
 
 
 def main_text(page: Page, template: frozenset[str]) -> str:
-    """The text of a page's content slots under a template."""
+    """The text of a page's regions, or without any of what the template doesn't hold."""
     regions = [b for b in page.blocks if b[3]]
-    if regions:  # the template's (or, where it has none, the page's own) article
+    if regions:
         slots = regions
     else:
         slots = [b for b in page.blocks if f"{b[0]}\t{xxhash.xxh3_64_hexdigest(b[1].encode('utf-8', 'surrogatepass'))}" not in template]
