@@ -8,7 +8,8 @@ Reading: the manifest (or a folder listing, for archives from elsewhere) is plan
 ``partition_bytes``; files without a wanted record type are left out. Predicates on record type and headers
 (record_type, target_uri, record_id, payload_digest, refers_to) are pushed down. A record's headers are parsed first:
 only as many bytes are inflated as hold them, and where the record isn't wanted, or no payload column is asked for,
-the reader goes on to the next member without decoding the payload.
+the reader goes on to the next member without decoding the payload. Members from elsewhere can hold many records. An
+archive that is cut off, or has a record that can't be read, is an error.
 
 Defined results: a null payload is the empty payload; a null target_uri, digest or date leaves its header out; line
 ends in header values are percent-encoded; records come in file order; an empty table makes an archive without files.
@@ -174,10 +175,21 @@ class Inflating:
             pass
         return bytes(self.out[:size])
 
+    def skip(self, size: int) -> bool:
+        """Drop so many bytes; false where there aren't as many."""
+        while True:
+            n = min(size, len(self.out))
+            del self.out[:n]
+            size -= n
+            if not size or not self.more():
+                return not size
+
     def end(self) -> int:
         """Compressed length of the member; inflates the rest (for archives without the length field)."""
         while not self.z.eof and self.more():
             self.out.clear()
+        if not self.z.eof:
+            raise ValueError("WARC archive: a gzip member is cut off")
         return self.read - len(self.z.unused_data)
 
 
@@ -196,11 +208,24 @@ class Plain:
     upto = Inflating.upto
 
 
-def parse_headers(view: Inflating | Plain) -> tuple[dict[str, str], int] | None:
+def line_ends(view: Inflating | Plain) -> int:
+    """Drop the line ends before a record; how many bytes they were."""
+    n = 0
+    while view.out or view.more():
+        if view.out[:1] not in (b"\r", b"\n"):
+            break
+        del view.out[:1]
+        n += 1
+    return n
+
+
+def parse_headers(view: Inflating | Plain) -> tuple[dict[str, str], int]:
     """Header fields (names in lower case) and where the block starts."""
     while (end := view.out.find(b"\r\n\r\n")) < 0:
         if not view.more():
-            return None
+            raise ValueError("WARC archive: a record's headers have no end")
+    if not view.out.startswith(b"WARC/"):
+        raise ValueError("WARC archive: no record where one should begin")
     lines = bytes(view.out[:end]).decode("utf-8", "surrogatepass").split("\r\n")
     fields: dict[str, str] = {}
     last = None
@@ -231,29 +256,50 @@ def records(file: pa.NativeFile, size: int, wanted, payloads: bool) -> Iterator[
         head = file.read(20)
         zipped = head[:2] == b"\x1f\x8b"
         length = struct.unpack_from("<I", head, 16)[0] if zipped and len(head) == 20 and head[3] & 4 and head[12:14] == b"NW" else None
+        if length and at + length > size:
+            raise ValueError("WARC archive: a gzip member is cut off")
         view = Inflating(file, at) if zipped else Plain(file, at)
-        if (parsed := parse_headers(view)) is None:
-            return
-        fields, start = parsed
-        row = columns(fields)
-        block = int(fields.get("content-length", 0))
-        if wanted(row):
-            row["payload"], row["payload_bytes"] = None, None
-            http = view.upto(start + min(block, 2048))[start:]
-            stop = http.find(b"\r\n\r\n")
-            if http.startswith(b"HTTP/") and stop >= 0:
-                for line in http[:stop].split(b"\r\n"):
-                    if line.lower().startswith(b"content-length:"):
-                        row["payload_bytes"] = int(line.split(b":")[1])
-                body = start + stop + 4
-            else:
-                body = start
-                row["payload_bytes"] = block
-            if payloads and row["record_type"] != "revisit":
-                row["payload"] = view.upto(start + block)[body:]
-                row["payload_bytes"] = len(row["payload"])
-            yield row
-        at += (length or view.end()) if zipped else start + block + 4
+        while True:
+            before = line_ends(view)
+            at += 0 if zipped else before
+            if not view.out:
+                break
+            fields, start = parse_headers(view)
+            row = columns(fields)
+            if "content-length" not in fields:
+                raise ValueError("WARC archive: a record without Content-Length")
+            block = int(fields["content-length"])
+            if wanted(row):
+                row["payload"], row["payload_bytes"] = None, None
+                http = view.upto(start + min(block, 2048))[start:]
+                stop = http.find(b"\r\n\r\n")
+                if http.startswith(b"HTTP/") and stop >= 0:
+                    for line in http[:stop].split(b"\r\n"):
+                        if line.lower().startswith(b"content-length:"):
+                            row["payload_bytes"] = int(line.split(b":")[1])
+                    body = start + stop + 4
+                else:
+                    body = start
+                    row["payload_bytes"] = block
+                if payloads and row["record_type"] != "revisit":
+                    whole = view.upto(start + block)
+                    if len(whole) < start + block:
+                        raise ValueError("WARC archive: a record is cut off")
+                    row["payload"] = whole[body:]
+                    row["payload_bytes"] = len(row["payload"])
+                yield row
+            if length or not zipped:  # our own members hold one record each
+                break
+            if not view.skip(start + block):
+                raise ValueError("WARC archive: a record is cut off")
+        if zipped:
+            at += length or view.end()
+        elif view.out:
+            at += start + block
+            if at > size:
+                raise ValueError("WARC archive: a record is cut off")
+        else:
+            break
 
 
 @dataclass

@@ -269,6 +269,30 @@ def test_warc_headers_without_payloads(tmp_path, monkeypatch):
     assert max(inflated) < 5000
 
 
+def test_warc_from_elsewhere(tmp_path):
+    import gzip
+
+    from pyarrow import fs
+
+    data = [W.record({"record_type": k, "record_id": f"urn:{i}", "target_uri": "u", "payload_digest": "d", "payload": bytes([97 + i]) * 200_000}) for i, k in enumerate(["response", "revisit", "response", "response"])]
+
+    def read(raw, payloads=True, wanted=lambda r: r["record_type"] == "response"):
+        (tmp_path / "w").write_bytes(raw)
+        with fs.LocalFileSystem().open_input_file(str(tmp_path / "w")) as f:
+            return [(r["record_id"], r["payload_bytes"], r["payload"] and r["payload"][:1]) for r in W.records(f, len(raw), wanted, payloads)]
+
+    whole = [("urn:0", 200_000, b"a"), ("urn:2", 200_000, b"c"), ("urn:3", 200_000, b"d")]
+    plain, one = b"".join(data), gzip.compress(b"".join(data))
+    two = gzip.compress(b"".join(data[:3])) + gzip.compress(b"") + gzip.compress(data[3])
+    for raw in (plain, one, two, plain + b"\r\n"):
+        assert read(raw) == whole and [r[0] for r in read(raw, False)] == [r[0] for r in whole]
+    own = b"".join(map(W.member, data))
+    for raw in (plain[:-1000], one[:-10], own[:-10], plain + b"no record", data[0] + b"WARC/1.0\r\nWARC-Type: x\r\n\r\n", gzip.compress(data[0] + b"junk\r\n\r\n")):
+        for payloads in (True, False):
+            with pytest.raises(ValueError, match="WARC archive"):
+                read(raw, payloads)
+
+
 # -- 7 ----------------------------------------------------------------------------------------------------------
 
 
