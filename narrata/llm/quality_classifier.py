@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 12_000, pool: int =
         .select(*_TYPES, "quality")
         .mapInArrow(_featurize, "doc_id long, quality int, text binary, meta binary")
     )
-    got = rows.filter("quality is not null").union(rows.filter("quality is null").limit(pool)).toArrow()
+    got = rows.filter("quality is not null").union(rows.filter("quality is null").orderBy(F.xxhash64("doc_id", F.lit("pool")), "doc_id", F.xxhash64("text", "meta")).limit(pool)).toArrow()
     order = np.argsort([i if i is not None else -1 for i in got.column("doc_id").to_pylist()], kind="stable")
     got = got.take(pa.array(order))
     quality = np.array([-1 if q is None else q for q in got.column("quality").to_pylist()])

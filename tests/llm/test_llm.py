@@ -68,6 +68,17 @@ def test_classifier_on_held_out_labels(spark):
     assert all(r["kept"] for r in got if r["quality"] == 1)
 
 
+def test_classifier_pool_does_not_depend_on_the_order_of_partitions(spark, monkeypatch):
+    rng = random.Random(15)
+    rows = [(i, sentence(rng, 30), "en", f"s{i % 3}", 150) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(C.CoTrained, "fit", lambda self, *x: seen.append(x[4]))
+    for part in (rows, rows[::-1]):
+        C.fit(spark.createDataFrame(spark.sparkContext.parallelize(part, 8), "doc_id long, text string, lang string, source string, n_chars long"), labels, pool=40)
+    assert len(seen[0]) == 40 and np.array_equal(*seen)
+
+
 def test_classifier_on_odd_tables(spark, odd, empty):
     none = C.fit(odd, spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int"))
     assert none is None and all(r["kept"] and r["score"] == 1 for r in C.score(odd, none).collect())
