@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -502,6 +504,57 @@ def test_html(spark):
     assert H.extract(pages.limit(0)).count() == 0
 
 
+def test_html_against_classes_of_whole_vectors(spark):
+    """Tokens, classes and main slots from vectors that are kept whole."""
+    rng = random.Random(21)
+    rows = []
+    for h, (inner, pages) in enumerate([("<article><h1>{t}</h1>{p}</article>", 9), ("<div class=story><h2>{t}</h2><div class=body>{p}</div></div>", 7), ("<div class=a>{p}</div>", 1)]):
+        for i in range(pages):
+            paragraphs = "".join(f"<p>{sentence(rng, 12)}</p>" for _ in range(rng.randint(1, 4)))
+            lists = "".join(f"<li><a>{sentence(rng, 1)}</a></li>" for _ in range(rng.randint(2, 4)))
+            inner_ = inner.format(t=sentence(rng, 4), p=paragraphs)
+            rows.append((100 * h + i, f"http://h{h}.example/{i}", f"<html><body><ul class=m>{lists}</ul><div class=teaser>{sentence(rng, 3)}</div>{inner_}<p class=foot>Same {h}</p></body></html>"))
+    pages = H.with_host(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    hosts: dict = {}
+    for page_id, url, html in rows:
+        hosts.setdefault(url.split("/")[2], []).append(H.Page(html))
+    every = [p for group in hosts.values() for p in group]
+    pool = {t: sum(t in p.tokens() for p in every) / len(every) for p in every for t in p.tokens()}
+    want = {}
+    for host, group in hosts.items():
+        vectors = {t: tuple(p.tokens().get(t, (0,))[0] for p in group) for p in group for t in p.tokens()}
+        often = {t for t, v in vectors.items() if np.count_nonzero(v) + H.PRIOR * pool[t] >= (len(group) + H.PRIOR) * H.SUPPORT}
+        want[host] = {}
+        for t in often:
+            around = next(p.tokens()[t][1] for p in group if t in p.tokens())
+            if around == H.ROOT or (around in often and np.count_nonzero(vectors[around]) >= np.count_nonzero(vectors[t])):
+                want[host].setdefault(vectors[t], set()).add(t)
+    got: dict = {}
+    for r in H.frequent(H.tokens(pages)).filter(F.col("token") != H.ROOT).collect():
+        got.setdefault(r["host"], {}).setdefault(r["class"], set()).add(r["token"])
+    assert {h: sorted(map(sorted, c.values())) for h, c in got.items()} == {h: sorted(map(sorted, c.values())) for h, c in want.items()}
+    slots, _ = H.main_slots(pages)
+    path = lambda *labels: functools.reduce(H.number, labels, H.ROOT)
+    assert {r["host"]: r["slot"] for r in slots.collect()}.items() >= {"h0.example": path("html", "body", "article"), "h1.example": path("html", "body", "div.story")}.items()
+    # without the template the teaser and the list are text
+    texts = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
+    assert all(H.main_text(html, None, None, frozenset()) != texts[i] for i, _, html in rows if i < 200)
+
+
+def test_orders_of_classes():
+    assert H.orders([1, 2, 3, 1, 2, 3, 9], {1: 7, 2: 7, 3: 7, 9: 8}).keys() == {7, 8}
+    assert H.orders([1, 2, 1, 2], {1: 7, 2: 7})[7] == H.orders([1, 2], {1: 7, 2: 7})[7] != 0
+    assert H.orders([1, 2, 2, 1], {1: 7, 2: 7})[7] == 0 and H.orders([1, 2, 1], {1: 7, 2: 7})[7] == 0
+
+
+def test_html_of_deep_and_long_pages():
+    deep = "<div>" * 80_000 + "text"
+    began = time.perf_counter()
+    assert H.main_text(deep, None, None, frozenset()) == "text" and len(H.Page(deep).volumes(frozenset())) == 80_001
+    assert H.main_text("<p>a b" * 50_000 + "</x>" * 50_000, None, None, frozenset()).count("a b") == 50_000
+    assert time.perf_counter() - began < 30
+
+
 # -- pipeline ---------------------------------------------------------------------------------------------------
 
 
