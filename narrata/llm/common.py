@@ -36,6 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
             where = "file://" + tempfile.mkdtemp(prefix="narrata-")
             spark.sparkContext._narrata_shared = where
             spark.sparkContext.setCheckpointDir(where)
+    if "://" not in where:  # Spark's readers and Python's must mean the same file system
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        where = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+        where = where if "://" in where else where.replace(":", "://", 1)
     return where.rstrip("/")
 
 
@@ -66,15 +70,21 @@ def unstage(df: DataFrame) -> None:
 
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def pick(df: DataFrame, **types: str) -> DataFrame:
-    """The named columns cast to the given types; other columns, whatever their names, stay out of the plan.
+def short_batches(df: DataFrame) -> None:
+    """Texts are long: where the session has Spark's defaults for what goes to Python at once (10,000 rows, 64 MB), it gets
+    2,000 rows and 16 MB. This changes the caller's session, as plans take the settings from it when they run."""
+    conf = df.sparkSession.conf
+    for key, default, wanted in ((BATCH, "10000", "2000"), (BATCH_BYTES, "67108864b", "16m")):
+        if conf.get(key, default) == default:
+            conf.set(key, wanted)
 
-    Texts are long: where the session has Spark's default of 10,000 rows a batch between JVM and Python, it gets 2,000.
-    """
-    if df.sparkSession.conf.get(BATCH, "10000") == "10000":
-        df.sparkSession.conf.set(BATCH, "2000")
+
+def pick(df: DataFrame, **types: str) -> DataFrame:
+    """The named columns cast to the given types; other columns, whatever their names, stay out of the plan."""
+    short_batches(df)
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
 
 
@@ -140,6 +150,17 @@ def apart(name: str) -> Column:
     return F.greatest(name, name).alias(name)
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """``row``: all columns of ``df`` as one, so that columns beside it can have any name; ``select("row.*")`` undoes it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def partitions_for(df: DataFrame, each: int = 64 << 20) -> int:
+    """Shuffle partitions for rows about as large as ``df``: the session's number, or more for large inputs."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(parallelism(df.sparkSession), min(200_000, -(-size // each)))
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

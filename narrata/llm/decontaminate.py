@@ -16,11 +16,14 @@ documents, so what tasks hold doesn't grow with either table. Documents are neve
 
 Words are lower-case with everything but letters and digits removed. Defined results: null or empty documents and
 items match nothing; items under ``n`` words are one n-gram; repeated rows give repeated results; equal items are
-reported each under its own item_id; extra columns are not read; empty tables give an empty result.
+reported each under its own item_id; rows are judged one by one, so null or shared doc_ids change nothing; a text of any
+length is read whole, with memory in proportion to the longest; of equal scores in a document the first passage counts;
+extra columns are carried by ``clean_documents`` and not read; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, pick
+from .common import Memo, pick, short_batches, slices
 
 _PUNCTUATION = re.compile(r"[\W_]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -143,12 +146,15 @@ def align(item: np.ndarray, passage: np.ndarray, match: int = 2, mismatch: int =
     return best, end
 
 
-def _aligner(items: Items, threshold: float):
-    memo: dict = {}
+class Aligner:
+    """Scores of a block's items against documents; the alignments of the last passages are kept."""
 
-    def best_passage(k: int, h: np.ndarray, places: np.ndarray) -> tuple[float, int, int]:
+    def __init__(self, items: Items, threshold: float):
+        self.items, self.threshold, self.memo = items, threshold, {}
+
+    def best_passage(self, k: int, h: np.ndarray, places: np.ndarray) -> tuple[float, int, int]:
         """Best normalised score of item ``k`` in the document, and its place."""
-        w, found = items.words[k], (0.0, 0, 0)
+        w, found, threshold = self.items.words[k], (0.0, 0, 0), self.threshold
         m = len(w)
         gaps = int(2 * m * (1 - threshold)) + 1  # more gaps than these leave less than the threshold
         starts = np.sort(places)
@@ -156,45 +162,68 @@ def _aligner(items: Items, threshold: float):
         for g in groups:
             lo, hi = max(0, int(g[0]) - gaps), min(len(h), int(g[-1]) + m + gaps)
             passage = h[lo:hi]
-            if items.most(passage, np.array([k]))[0] < 2 * threshold * m:
+            if self.items.most(passage, np.array([k]))[0] < 2 * threshold * m:
                 continue
             key = (k, passage.tobytes())
-            if key not in memo:
-                if len(memo) > 2000:
-                    memo.clear()
+            if key not in self.memo:
+                if len(self.memo) > 2000:
+                    self.memo.clear()
                 score, end = align(w, passage)
                 # the same from behind gives the start
                 start = end - align(w[::-1], passage[:end][::-1])[1] if score >= 2 * threshold * m else end
-                memo[key] = (score / (2 * m), start, end)
-            score, start, end = memo[key]
+                self.memo[key] = (score / (2 * m), start, end)
+            score, start, end = self.memo[key]
             if score > found[0]:
                 found = (score, lo + start, lo + end)
         return found
 
+    def found(self, text: str | None) -> Iterator[tuple[int, float, int, int]]:
+        """(item, score, start, end) of the items that a document holds."""
+        items, h = self.items, words(text)
+        at, which = items.hits(h)
+        if not len(at):
+            return
+        rows = spans(items.first[which], items.last[which])
+        item, start = items.item[rows], np.repeat(at, items.last[which] - items.first[which]) - items.offset[rows]
+        order = np.argsort(item, kind="stable")
+        item, start = item[order], start[order]
+        cut = np.flatnonzero(np.diff(item)) + 1
+        candidates = item[np.append(0, cut)]
+        enough = items.most(h, candidates) >= 2 * self.threshold * (items.end - items.begin)[candidates]
+        for k, s, good in zip(candidates.tolist(), np.split(start, cut), enough.tolist(), strict=True):
+            if good:
+                score, a, b = self.best_passage(k, h, s)
+                if score >= self.threshold:
+                    yield k, float(score), a, b
+
+
+def _reporter(items: Items, threshold: float):
+    types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _WORDS.claim()
+        aligner = Aligner(items, threshold)
+        for batch in batches:
+            for part in slices(batch):
+                out = [
+                    (doc_id, items.ids[k], *rest)
+                    for doc_id, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)
+                    for k, *rest in aligner.found(t)
+                ]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "item_id", "score", "start_word", "end_word"])
+
+    return run
+
+
+def _cleaner(items: Items, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _WORDS.claim()
+        aligner = Aligner(items, threshold)
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h = words(t)
-                at, which = items.hits(h)
-                if not len(at):
-                    continue
-                rows = spans(items.first[which], items.last[which])
-                item, start = items.item[rows], np.repeat(at, items.last[which] - items.first[which]) - items.offset[rows]
-                order = np.argsort(item, kind="stable")
-                item, start = item[order], start[order]
-                cut = np.flatnonzero(np.diff(item)) + 1
-                candidates = item[np.append(0, cut)]
-                enough = items.most(h, candidates) >= 2 * threshold * (items.end - items.begin)[candidates]
-                for k, s, good in zip(candidates.tolist(), np.split(start, cut), enough.tolist(), strict=True):
-                    if not good:
-                        continue
-                    score, a, b = best_passage(k, h, s)
-                    if score >= threshold:
-                        out.append((doc_id, items.ids[k], float(score), a, b))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "score", "start_word", "end_word"])
+            for part in slices(batch):
+                clean = [next(aligner.found(t), None) is None for t in part.column("text").to_pylist()]
+                yield part if all(clean) else part.filter(pa.array(clean, pa.bool_()))
 
     return run
 
@@ -202,25 +231,31 @@ def _aligner(items: Items, threshold: float):
 FOUND = "doc_id long, item_id long, score double, start_word int, end_word int"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, block_words: int = 500_000) -> DataFrame:
-    """(doc_id, item_id, score, start_word, end_word) for documents that hold an item or an edited copy of it."""
-    spark = docs.sparkSession
-    docs = pick(docs, doc_id="long", text="string")
+def blocks_of(benchmark: DataFrame, n: int, block_words: int) -> Iterator[Items]:
+    """The test set in blocks of about ``block_words`` words, one after the other."""
     items = pick(benchmark, item_id="long", text="string").filter("text is not null")
     size = items.agg(F.sum(F.size(F.split("text", "\\s+"))).alias("w")).first()["w"] or 0
     blocks = max(1, math.ceil(size / block_words))
-    out = None
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # bounded by block_words
         block = Items([tuple(r) for r in rows], n)
-        if not len(block.gram):
-            continue
-        found = docs.mapInArrow(_aligner(block, threshold), FOUND)
-        out = found if out is None else out.union(found)
-    return out if out is not None else spark.createDataFrame([], FOUND)
+        if len(block.gram):
+            yield block
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, block_words: int = 500_000) -> DataFrame:
+    """(doc_id, item_id, score, start_word, end_word) for documents that hold an item or an edited copy of it."""
+    rows = pick(docs, doc_id="long", text="string")
+    found = [rows.mapInArrow(_reporter(block, threshold), FOUND) for block in blocks_of(benchmark, n, block_words)]
+    return functools.reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], FOUND)
+
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, block_words: int = 500_000) -> DataFrame:
+    """The rows of ``docs``, all columns, without benchmark items in them.
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` without benchmark items in them."""
-    bad = contaminated(docs, benchmark, **parameters).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    Each row is judged by its own text, whatever its doc_id, in the pass that reads it; nothing is shuffled.
+    """
+    short_batches(docs)
+    for block in blocks_of(benchmark, n, block_words):
+        docs = docs.mapInArrow(_cleaner(block, threshold), docs.schema)
+    return docs
