@@ -14,20 +14,23 @@
 Fitting reads at most ``labelled`` labelled rows (by hash); everything else covers all rows and whole texts.
 
 Defined results: null and empty texts have no tokens and get the rate of their posterior; repeated rows get equal
-rates; without labels all documents belong to one domain; targets of domains that don't occur count as zero; extra
-columns are carried by ``mix`` and not read; empty tables give empty results.
+rates; rows of equal doc_id draw equal fractions; without labels all documents belong to one domain; targets of domains
+that don't occur count as zero, and targets that can't be met leave a residual, which is returned and, over 0.01, warned
+of; extra columns of any name are carried by ``mix`` and not read; empty tables give empty results. A text of any length
+is one row: memory grows with the longest.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, staged
+from .common import pick, staged, unstage, whole_rows
 from .quality_rules import STOP_WORDS
 
 #: Expected share of tokens of each domain, (quality, toxic).
@@ -62,7 +65,7 @@ class Bayes:
 
 
 def features(docs: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
-    """doc_id, n_tokens and a bin number for each feature."""
+    """``docs`` (text and columns of this module) with n_tokens and a bin number for each feature."""
     t = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("_m_t", t).withColumn("_m_w", _words(F.col("_m_t")))
     n, chars = F.greatest(F.size("_m_w"), F.lit(1)), F.greatest(F.length("_m_t"), F.lit(1))
@@ -110,6 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 12_000) -> Bayes:
     f = features(rows, lexicon)
     pairs = F.explode(F.array(*[F.struct(F.lit(b).alias("f"), F.col(b).alias("bin")) for b in BINS]))
     got = f.select("quality", "toxic", pairs.alias("x")).groupBy("quality", "toxic", "x.f", "x.bin").count().collect()  # bins times classes
+    unstage(rows)
+    unstage(counts)
     classes = sorted({(r["quality"], r["toxic"]) for r in got})
     size = {c: sum(r["count"] for r in got if (r["quality"], r["toxic"]) == c and r["f"] == BINS[0]) for c in classes}
     table = {}
@@ -160,38 +165,49 @@ def solve(cells: DataFrame, weights: list[float], rounds: int = 40, tolerance: f
     return steps, residual
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[tuple[int, int], float] | None = None, labelled: int = 12_000, narrow: bool = False) -> tuple[DataFrame, Bayes]:
-    """``docs`` with n_tokens, p (posteriors), rate and copies; the targets are shares of the present token total.
+def rates(
+    docs: DataFrame, labels: DataFrame, targets: dict[tuple[int, int], float] | None = None, labelled: int = 12_000, whole: bool = False
+) -> tuple[DataFrame, Bayes, float]:
+    """(doc_id, n_tokens, p (posteriors), rate, copies) for each row of ``docs``, the model, and the relative residual.
 
-    ``narrow``: without the texts, whose bins are then written once; else they are computed in both passes, which
-    costs less than shuffling or writing texts.
+    The targets are shares of the present token total. The residual is what nonnegative rates of these posteriors can't
+    reach, or what ``solve`` left. ``whole``: the rows themselves come along as the column ``row``; their bins are then
+    computed in both passes, which costs less than shuffling or writing texts.
     """
     targets = TARGETS if targets is None else targets
     model = train(docs, labels, labelled)
-    binned = features(docs, model.lexicon)
-    if narrow:
-        binned = staged(binned.select("doc_id", "n_tokens", *BINS), "mixing-bins")
-    cells = staged(with_posterior(staged(binned.groupBy(*BINS).agg(F.sum("n_tokens").alias("n")), "mixing-cells"), model).select("n", "p"), "mixing-cells")
+    narrow = pick(docs, doc_id="long", text="string")
+    if whole:
+        rows = whole_rows(docs)
+        narrow = rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
+    binned = features(narrow, model.lexicon).drop("text")
+    if not whole:
+        binned = staged(binned, "mixing-bins")
+    counted = staged(binned.groupBy(*BINS).agg(F.sum("n_tokens").alias("n")), "mixing-cells")
+    cells = staged(with_posterior(counted, model).select("n", "p"), "mixing-cells")
     weights = [targets.get(c, 0.0) for c in model.classes]
     if len(model.classes) == 1:
         weights = [1.0]
-    steps, _ = solve(cells, [w / (sum(weights) or 1.0) for w in weights])
+    steps, residual = solve(cells, [w / (sum(weights) or 1.0) for w in weights])
+    unstage(counted)
+    unstage(cells)
+    if residual > 0.01:
+        warnings.warn(f"the targets can't be met: a domain's share is off by {residual:.4f}", stacklevel=2)
     out = with_posterior(binned, model).drop(*BINS).withColumn("rate", rate(F.col("p"), steps))
     u = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     # zero, but not deterministic to the optimizer: else it would copy all expressions into a filter on ``copies``
     u = u + F.least(F.spark_partition_id(), F.lit(0))
-    return out.withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("long")), model
+    return out.withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("long")), model, residual
 
 
 def mixture(docs: DataFrame, labels: DataFrame, targets: dict[tuple[int, int], float] | None = None, labelled: int = 12_000) -> DataFrame:
-    """(doc_id, n_tokens, p_q<quality>t<toxic> ..., rate, copies) of every row."""
-    out, model = rates(pick(docs, doc_id="long", text="string"), labels, targets, labelled, narrow=True)
+    """(doc_id, n_tokens, p_q<quality>t<toxic> ..., rate, copies, residual) of every row."""
+    out, model, residual = rates(docs, labels, targets, labelled)
     named = [(F.get("p", model.classes.index((q, t))) if (q, t) in model.classes else F.lit(0.0)).alias(f"p_q{q}t{t}") for q in (0, 1) for t in (0, 1)]
-    return out.select("doc_id", "n_tokens", *named, "rate", "copies")
+    return out.select("doc_id", "n_tokens", *named, "rate", "copies", F.lit(residual).alias("residual"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple[int, int], float] | None = None, labelled: int = 12_000) -> DataFrame:
-    """The rows of ``docs``, each as often as its copies say."""
-    out, _ = rates(docs, labels, targets, labelled)
-    again = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return again.select(*docs.columns)
+    """The rows of ``docs``, all columns, each as often as its copies say."""
+    out, _, _ = rates(docs, labels, targets, labelled, whole=True)
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

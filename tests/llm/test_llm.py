@@ -164,6 +164,18 @@ def test_mixing_meets_targets(spark):
     assert (got["rate"] >= 0).all() and np.allclose(got[list(share)].sum(axis=1), 1)
 
 
+def test_mixing_leaves_columns_of_its_own_names(spark):
+    rng = random.Random(4)
+    names = "rate string, p string, n_tokens string, copies string, copy string, b_symbols string, row string, _m_t string"
+    docs = spark.createDataFrame([(i, sentence(rng, 30) if i % 2 else "### $$$ " * 20, *["mine"] * 8) for i in range(80)], f"doc_id long, text string, {names}")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = M.mix(docs, labels)
+    assert got.columns == docs.columns and got.count() > 0
+    assert all(tuple(r)[2:] == ("mine",) * 8 for r in got.collect())
+    out = M.mixture(docs, labels)
+    assert {r["residual"] < 0.05 for r in out.collect()} == {True} and out.filter("doc_id % 2 = 0 and copies > 0").count() == 0
+
+
 def test_mixing_on_odd_tables(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1, 0), (5, 1, 0), (9, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -329,6 +341,13 @@ def test_decontamination(spark, odd, empty):
         assert got[(110, 0)] == 1 and 0.6 < got[(120, 2)] < 1
     clean = D.clean_documents(odd, bench)
     assert clean.columns == odd.columns and pairs(clean) == pairs(odd)
+    # each row by its own text: null and shared ids, and columns of any name
+    rows = [(None, items[0][1], 1, 1), (None, "clean", 2, 2), (7, items[5][1] + " x", 3, 3), (7, "clean too", 4, 4), (8, None, 5, 5)]
+    named = spark.createDataFrame(rows, "doc_id long, text string, _bad long, item_id long")
+    for words in (500_000, 60):
+        kept = D.clean_documents(named, bench, block_words=words)
+        assert kept.columns == named.columns and sorted(r["_bad"] for r in kept.collect()) == [2, 4, 5]
+    assert D.clean_documents(empty, bench).count() == 0
     assert D.contaminated(empty, bench).count() == 0 and D.contaminated(docs, bench.limit(0)).count() == 0
 
 
