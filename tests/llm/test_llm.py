@@ -8,6 +8,7 @@ import random
 import textwrap
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -70,15 +71,24 @@ def test_classifier_on_held_out_labels(spark):
     assert all(r["kept"] for r in got if r["quality"] == 1)
 
 
-def test_classifier_pool_does_not_depend_on_the_order_of_partitions(spark, monkeypatch):
+def test_exchange_covers_all_documents_in_any_order(spark):
+    """Pseudo-labels against the most confident of all unlabelled documents, and the same model from any partitions."""
     rng = random.Random(15)
-    rows = [(i, sentence(rng, 30), "en", f"s{i % 3}", 150) for i in range(400)]
-    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
-    seen = []
-    monkeypatch.setattr(C.CoTrained, "fit", lambda self, *x: seen.append(x[4]))
-    for part in (rows, rows[::-1]):
-        C.fit(spark.createDataFrame(spark.sparkContext.parallelize(part, 8), "doc_id long, text string, lang string, source string, n_chars long"), labels, pool=40)
-    assert len(seen[0]) == 40 and np.array_equal(*seen)
+    rows = [(i, sentence(rng, 30), "en", f"s{i % 3}", 150) for i in range(800)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int")
+    rows = [(i, t if i % 2 else "### !!! " * (5 + i % 7), *r) for i, t, *r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    models = [C.fit(spark.createDataFrame(spark.sparkContext.parallelize(part, n), schema), labels, each=30) for part, n in ((rows, 8), (rows[::-1], 3))]
+    assert models[0].exchanged == models[1].exchanged and models[0].exchanged[0] > 0
+    assert np.array_equal(models[0].models[0].w, models[1].models[0].w) and np.array_equal(models[0].weights, models[1].weights)
+    # the choice itself, over all rows
+    logits = np.random.default_rng(3).normal(0, 4, len(rows))
+    keys = np.arange(len(rows))
+    part = [C.counted(logits[k::5], 2.0) for k in range(5)]
+    level = C.level_for(sum(part, Counter()), 40)
+    chosen = {k for k in keys.tolist() if C.bins(logits[k : k + 1])[0] >= level}
+    sure = np.sort(np.abs(logits))[::-1]
+    assert 40 <= len(chosen) < 60 and min(abs(logits[k]) for k in chosen) == sure[len(chosen) - 1]
 
 
 def test_classifier_on_odd_tables(spark, odd, empty):
@@ -460,9 +470,9 @@ def test_jaccard_against_brute_force(spark, odd, empty, monkeypatch):
     rows = [tuple(r) for r in docs.collect()]
     _, near = jaccard_by_brute_force(rows)
     want = sorted(((d, len(n)) for (d, _), n in zip(rows, near, strict=True)), key=repr)
-    for members in (512, 3):  # whole blocks, and blocks cut into parts
+    for members, parts in ((512, 16), (3, 16), (3, 0)):  # whole blocks, blocks cut into parts, buckets
         monkeypatch.setattr(J, "PART_MEMBERS", members)
-        got = J.near_duplicates(docs).collect()
+        got = J.near_duplicates(docs, block_parts=parts).collect()
         assert sorted(((r["doc_id"], r["n_links"]) for r in got), key=repr) == want
     assert J.near_duplicates(empty).count() == 0
 
@@ -474,6 +484,20 @@ def test_one_of_each_group_stays(spark, odd):
     assert [i for i, _ in ids] == [0, 1, 2, 3, 4, 5, 8, 8, 9, 10, 11]
 
 
+def test_jaccard_without_ids_and_with_columns_of_any_name(spark):
+    rng = random.Random(12)
+    base = sentence(rng, 60)
+    near, other = base.replace("0", "00", 1), sentence(rng, 60)
+    rows = [(None, base), (None, near), (None, near), (4, other), (4, near + " end"), (None, None), (None, ""), (4, other), (9, None)]
+    docs = spark.createDataFrame([(i, t, k, "x", "y") for k, (i, t) in enumerate(rows)], "doc_id long, text string, _kept long, _key string, row string")
+    got = sorted((tuple(r) for r in J.near_duplicates(docs).select("doc_id", "class_id", "group_id", "n_links").collect()), key=repr)
+    assert got == sorted([(None, None, 4, 3)] * 3 + [(4, 4, 4, 3), (None, None, None, 0), (None, None, None, 0), (4, 4, 4, 1), (4, 4, 4, 1), (9, 9, 9, 0)], key=repr)
+    kept = J.one_of_each_group(docs)
+    assert kept.columns == docs.columns and all((r["_key"], r["row"]) == ("x", "y") for r in kept.collect())
+    ids = sorted(r["_kept"] for r in kept.collect())
+    assert ids in ([3, 4, 5, 6, 8], [4, 5, 6, 7, 8])
+
+
 def test_bands():
     assert J.bands_for(0.8, 0.9999) == 24
     assert 1 - (1 - 0.8**5) ** 24 >= 0.9999 > 1 - (1 - 0.8**5) ** 23
