@@ -157,8 +157,9 @@ def whole_rows(df: DataFrame) -> DataFrame:
 
 def partitions_for(df: DataFrame, each: int = 64 << 20) -> int:
     """Shuffle partitions for rows about as large as ``df``: the session's number, or more for large inputs."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return max(parallelism(df.sparkSession), min(200_000, -(-size // each)))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 55  # else Spark has no figure for what it reads
+    return max(parallelism(df.sparkSession), -(-size // each) if known else 0)
 
 
 def parallelism(spark: SparkSession) -> int:

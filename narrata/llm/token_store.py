@@ -3,18 +3,18 @@
 Every document's id stream is cut into chunks where a rolling hash of its last 16 ids has a fixed bit pattern, so an
 edit changes only the chunks around it. A chunk's address is the SHA-256 of its bytes; each distinct chunk is stored
 once. A recipe lists a document's chunks in order, and its Merkle root; recipes lie in ascending doc_id order, and a
-manifest holds the Merkle tree over the recipes' roots, 1024 children a node.
+manifest holds the Merkle tree over the recipes, about 1024 children a node. Reading computes the tree again.
 
 Files under the store's path (Parquet containers, binary payloads):
 
 * ``objects/kind=chunk``: chunk_id binary(32), n_ids int, payload binary (little-endian unsigned 16-bit ids where the
   vocabulary has at most 65,536 entries, else 32-bit);
 * ``recipes``: pid int, doc_id long, start long, n_tokens long, chunk_ids array<binary>, root binary(32);
-* ``manifest``: level int, node long, digest string; the highest level has one node.
+* ``manifest``: level int, span long, node long, digest string; the highest level has one node.
 
 Defined results: a null text is the empty text (one end id, one chunk); repeated rows are documents of their own;
-rows of equal or null doc_id are ordered by their roots, nulls first; extra columns are not read. An empty table
-gives a store without chunks and recipes.
+rows of equal or null doc_id are ordered by their roots, nulls first; extra columns are not read; texts are encoded
+whole, in slices of about 1.5 MB, a longer one by itself. An empty table gives a store without chunks and recipes.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, drop_folder, forget, new_folder, parallelism, pick, slices
+from .common import Memo, drop_folder, forget, new_folder, partitions_for, pick, slices
 
 ROLL = 16
 FANOUT = 1024
@@ -177,11 +177,11 @@ class Encoder:
         for p in pieces:
             if p.isalpha():
                 plain.append(p)
-            elif (base := p.rstrip(MARKS)) != p and base.isalpha():
+            elif (base := p.rstrip(MARKS)) != p and base.isalpha() and max(base) <= "\xff":
                 ended.append((p, base, p[len(base) :]))
             else:
                 other.append(p)
-        if ended:  # marks behind letters are a piece of their own to the tokenizer
+        if ended:  # marks behind Latin letters, which no lower-casing turns into marks, are a piece of their own to the tokenizer
             plain += {b for _, b, _ in ended if b not in memo}.difference(plain)
             marks_ = [m for m in {m for _, _, m in ended} if m not in memo]
             if marks_:
@@ -297,8 +297,9 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int, by_word: bool = False) -> None:
     """Encode, cut and store ``docs`` (doc_id, text); see the module's text for the files."""
     spark = docs.sparkSession
-    n = parallelism(spark)
-    rows = pick(docs, doc_id="long", text="string").mapInArrow(_cutter(tokenizer, end_id, vocabulary, by_word), STAGE_SCHEMA)
+    rows = pick(docs, doc_id="long", text="string")
+    n = partitions_for(rows)  # what a task remembers of a partition is bounded by its size
+    rows = rows.mapInArrow(_cutter(tokenizer, end_id, vocabulary, by_word), STAGE_SCHEMA)
     rows.repartition(n, "key").mapInArrow(_once, STAGE_SCHEMA).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     made = spark.read.schema(STAGE_SCHEMA).parquet(f"{path}/objects").filter("kind = 'doc'")
     ordered = (
@@ -309,10 +310,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabul
     )
     ordered.write.parquet(f"{path}/_ordered")
     ordered = spark.read.schema(ordered.schema).parquet(f"{path}/_ordered")
-    before, offsets = 0, []
-    for pid, tokens in ordered.groupBy("pid").agg(F.sum("n_tokens")).orderBy("pid").collect():  # a row for each partition
+    before, count, offsets = 0, 0, []
+    for pid, tokens, n_docs in ordered.groupBy("pid").agg(F.sum("n_tokens"), F.count("*")).orderBy("pid").collect():  # a row for each partition
         offsets.append((pid, before))
-        before += tokens
+        before, count = before + tokens, count + n_docs
     first = spark.createDataFrame(offsets or [(0, 0)], "pid int, first long")
     w = Window.partitionBy("pid").orderBy(F.col("doc_id").asc_nulls_first(), "root").rowsBetween(Window.unboundedPreceding, -1)
     (
@@ -321,32 +322,54 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabul
         .select("pid", "doc_id", "start", "n_tokens", "chunk_ids", "root")
         .write.option("compression", "zstd").parquet(f"{path}/recipes")
     )
-    _manifest(spark, path)
-
+    _manifest(spark, path, max(1, before * FANOUT // max(1, count)))
     drop_folder(spark, f"{path}/_ordered")
     drop_folder(spark, f"{path}/objects/kind=doc")
 
 
-def _manifest(spark: SparkSession, path: str) -> None:
-    """Merkle tree over the recipes in their order: nodes of 1024 children, level by level up to one root."""
-    level, n = 0, None
-    rows = spark.read.parquet(f"{path}/recipes").select(F.col("start").alias("at"), F.hex("root").alias("digest"))
-    while n is None or n > 1:
-        if level == 0:
-            # the children of a node are the recipes that start within the same span of ids; spans hold about 1024 documents
-            total = rows.agg(F.count("*").alias("n"), F.max("at").alias("m")).first()
-            span = max(1, (total["m"] or 0) * FANOUT // max(1, total["n"]))
-            key = F.floor(F.col("at") / span).cast("long")
-        else:
-            key = F.floor(F.col("at") / FANOUT).cast("long")
-        nodes = rows.groupBy(key.alias("node")).agg(
-            F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"])), 256).alias("digest")
-        )
-        nodes.select(F.lit(level).alias("level"), "node", "digest").write.mode("append").parquet(f"{path}/manifest")
-        done = spark.read.parquet(f"{path}/manifest").filter(F.col("level") == level)
-        n = done.count()
-        rows = done.select(F.col("node").alias("at"), "digest")
-        level += 1
+def _nodes(children: DataFrame, span: int) -> DataFrame:
+    """(node, digest) over ``children`` (at, digest): a node for each span of ``at``, in the order of ``at``."""
+    joined = F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"]))
+    return children.groupBy(F.floor(F.col("at") / span).cast("long").alias("node")).agg(F.sha2(joined, 256).alias("digest"))
+
+
+def _leaves(spark: SparkSession, path: str) -> DataFrame:
+    """What a recipe's leaf says: its document, place, length and root."""
+    recipes = spark.read.schema("doc_id long, start long, n_tokens long, root binary").parquet(f"{path}/recipes")
+    said = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "start", "n_tokens", F.hex("root"))
+    return recipes.select(F.col("start").alias("at"), F.sha2(said, 256).alias("digest"))
+
+
+MANIFEST = "level int, span long, node long, digest string"
+
+
+def _manifest(spark: SparkSession, path: str, span: int) -> None:
+    """Merkle tree over the recipes in their order, level by level up to one root.
+
+    The children of a lowest node are the recipes that start within the same ``span`` of ids (about 1024 documents);
+    above, a node has 1024 children.
+    """
+    level, rows, n = 0, _leaves(spark, path), 2
+    while n > 1:
+        _nodes(rows, span).select(F.lit(level).alias("level"), F.lit(span).cast("long").alias("span"), "node", "digest").write.mode("append").parquet(f"{path}/manifest")
+        done = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").filter(F.col("level") == level)
+        rows, span, level, n = done.select(F.col("node").alias("at"), "digest"), FANOUT, level + 1, done.count()
+
+
+def verify_manifest(spark: SparkSession, path: str) -> str:
+    """Compute the tree again from the recipes and hold it against the manifest; its root, or an error."""
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    levels = manifest.groupBy("level").agg(F.min("span").alias("span"), F.count("*").alias("n"), F.max("digest").alias("digest")).orderBy("level").collect()  # a few levels
+    rows, root = _leaves(spark, path), ""
+    for level, span, _, root in levels:
+        stored = manifest.filter(F.col("level") == level).select("node", F.col("digest").alias("stored"))
+        made = _nodes(rows, span)
+        if (bad := made.join(stored, "node", "full").filter("not (digest <=> stored)").limit(1).collect()):
+            raise ValueError(f"the recipes under node {bad[0]['node']} of level {level} don't match the manifest")
+        rows = stored.select(F.col("node").alias("at"), F.col("stored").alias("digest"))
+    if levels and levels[-1]["n"] != 1 or not levels and _leaves(spark, path).limit(1).count():
+        raise ValueError("the manifest has no single root")
+    return root
 
 
 CHECKED = "chunk_id binary, n_ids int, crc long"
@@ -395,8 +418,10 @@ def stored_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_digests(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
-    """One row a document from the store's files: every chunk is held against its address, every document against its
-    root, and the checksum of a document's ids is put together from those of its chunks."""
+    """One row a document from the store's files: recipes are held against the manifest, every chunk against its
+    address, every document against its root and length, and the checksum of a document's ids is put together from
+    those of its chunks."""
+    verify_manifest(spark, path)
     chunks = stored_chunks(spark, path)
     checked = chunks.mapInArrow(_verify(vocabulary > 65_536), CHECKED)
     recipes = spark.read.schema("doc_id long, start long, n_tokens long, chunk_ids array<binary>, root binary").parquet(f"{path}/recipes")
@@ -408,8 +433,9 @@ def read_digests(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
         .agg(F.collect_list(F.struct("seq", "chunk_id", "n_ids", "crc")).alias("parts"))
         .mapInArrow(_joined, "root binary, ids_crc32 long, n_read long")
     )
+    whole = F.when(F.col("n_read") == F.col("n_tokens"), F.col("n_read")).otherwise(F.raise_error(F.lit("a document's length isn't its recipe's")).cast("long"))
     return recipes.join(parts, "root").select(
-        "doc_id", "start", "n_tokens", "ids_crc32", "n_read", F.size("chunk_ids").alias("n_chunks"), F.lower(F.hex("root")).alias("root")
+        "doc_id", "start", "n_tokens", "ids_crc32", whole.alias("n_read"), F.size("chunk_ids").alias("n_chunks"), F.lower(F.hex("root")).alias("root")
     )
 
 
@@ -444,5 +470,3 @@ def store_and_read(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     path = path or new_folder(docs.sparkSession, "token-store")
     write_store(docs, path, tokenizer or default_tokenizer(), end_id, vocabulary, by_word)
     return read_digests(docs.sparkSession, path, vocabulary)
-
-
