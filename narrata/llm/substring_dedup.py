@@ -2,9 +2,9 @@
 
 A byte goes where a 50-byte string that covers it also starts in a document of a smaller doc_id.
 
-1. A task cuts its texts into segments: maximal runs of 50-byte windows with the same minimizer (the least hash of the
-   8-byte strings in a window). Equal windows have equal minimizers, so with segments dealt to buckets by minimizer
-   every repeat lies within one bucket. A segment that the task has met in a document of a smaller id is settled at
+1. A task cuts its texts into segments: maximal runs of 50-byte windows with the same minimizer (of the 8-byte strings in
+   a window the first in a fixed order: by hash, but common ones last). Equal windows have equal minimizers, so with
+   segments dealt to buckets by minimizer every repeat lies within one bucket. A segment that the task has met in a document of a smaller id is settled at
    once; of what is left each segment goes to its bucket, packed and compressed with the others of its slice.
 2. A bucket collapses equal segments to the least doc_id, keeps the runs of windows whose hash occurs in two or more
    distinct segments of different documents, and builds the Burrows-Wheeler transform of these runs. From the empty
@@ -13,11 +13,15 @@ A byte goes where a 50-byte string that covers it also starts in a document of a
    more. Each run of unset entries is a repeated string; its least doc_id decides which of its starts go.
 3. Starts are merged to spans for each document, and the texts are cut.
 
-Buckets hold a fixed number of windows on average, so their number grows with the input. Hot strings reach their
-bucket once from each task at most, as pre-aggregation keeps what a task has found to repeat.
+Buckets hold a fixed number of windows on average, so their number grows with the input. By hash alone a common 8-byte
+string with a small hash would be the minimizer of a fixed share of all windows, and its bucket would grow with the input.
+So strings that a hash sample of the documents shows to be common come last: the sample (a thousandth and 8 MB of text)
+and the list (``COMMON`` strings, 8 bytes each) only shape the buckets, the result doesn't depend on them. Repeated
+passages reach their bucket about once from each task, as pre-aggregation keeps what a task has found to repeat.
 
 Defined results: a null text is the empty text; rows of equal doc_id don't affect one another; a null doc_id counts as
-greater than all others; texts under 50 bytes stay whole; extra columns are not read; an empty table gives no rows.
+greater than all others; texts under 50 bytes stay whole; a text of any length is cut in one piece, with memory of some
+tens of bytes for each of its bytes; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,12 +35,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, pick
+from .common import forget, pick, slices
 
 LENGTH = 50
 GRAM = 8
 SLICE = 4 << 20  # bytes of text that a task cuts at a time
 BUCKET = 2_000_000  # windows in a bucket, on average
+COMMON = 1_000_000  # 8-byte strings that can be put last
 LAST = (1 << 63) - 1
 _M = np.uint64(0x9E3779B97F4A7C15)
 _X = np.uint64(0xD6E8FEB86659FD93)
@@ -59,12 +64,36 @@ def least_in_window(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - have)], h[width - have :]) if have < width else h
 
 
-def segments(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, place in the buffer, windows, minimizer) of each segment; ``buffer`` ends with 64 bytes to spare."""
+def hashes8(buffer: np.ndarray) -> np.ndarray:
+    """A hash of the 8 bytes at each place, without its top bit."""
     v = words8(buffer)
     h = (v ^ (v >> np.uint64(31))) * _X
     h ^= h >> np.uint64(33)
-    m = least_in_window(h, LENGTH - GRAM + 1)
+    return h >> np.uint64(1)
+
+
+class Common:
+    """Hashes of common 8-byte strings; a table of a bit for each 20-bit ending keeps most lookups short."""
+
+    def __init__(self, hashes: list[int]):
+        self.hashes = np.sort(np.array(hashes, dtype=np.uint64))
+        self.screen = np.zeros(1 << 20, dtype=bool)
+        self.screen[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def last(self, h: np.ndarray) -> np.ndarray:
+        """The hashes with their top bit set where they are common."""
+        if not len(self.hashes):
+            return h
+        some = np.flatnonzero(self.screen[(h & np.uint64((1 << 20) - 1)).view(np.int64)])
+        k = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
+        h[some[self.hashes[k] == h[some]]] |= np.uint64(1 << 63)
+        return h
+
+
+def segments(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray, common: Common | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, place in the buffer, windows, minimizer) of each segment; ``buffer`` ends with 64 bytes to spare."""
+    h = hashes8(buffer)
+    m = least_in_window(common.last(h) if common else h, LENGTH - GRAM + 1)
     long = np.flatnonzero(lengths >= LENGTH)
     n_windows = lengths[long] - LENGTH + 1
     first = np.cumsum(n_windows) - n_windows
@@ -97,14 +126,14 @@ def unpack(blob: bytes, *types: str) -> list[np.ndarray]:
 _BLOB = ("<i8", "<u4", "<u4", "<i4", "<i4", "u1", "<i4", "<i4", "<i4")
 
 
-def _cutter(buckets: int):
+def _cutter(buckets: int, common: Common):
     def cut(rows: list[tuple], hot: dict[bytes, int]) -> Iterator[tuple[int, bytes]]:
         rows.sort(key=lambda r: r[1])
         data = [r[2] for r in rows]
         lengths = np.array([len(d) for d in data], dtype=np.int64)
         starts = np.cumsum(lengths) - lengths
         joined = b"".join(data)
-        doc, place, windows, m = segments(np.frombuffer(joined + bytes(64), dtype=np.uint8), starts, lengths)
+        doc, place, windows, m = segments(np.frombuffer(joined + bytes(64), dtype=np.uint8), starts, lengths, common)
         if not len(doc):
             return
         ids = [r[1] for r in rows]
@@ -394,11 +423,34 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, n) of the 8-byte strings that a slice of texts holds twice or more."""
+    forget()
+    for batch in batches:
+        for part in slices(batch, 4000, SLICE):
+            joined = b"\0".join((t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist())
+            h, n = np.unique(hashes8(np.frombuffer(joined + bytes(8), dtype=np.uint8)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].astype(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["hash", "n"])
+
+
+def common_strings(docs: DataFrame, total: int, bucket_windows: int, sample: int | None = None) -> Common:
+    """Of a sample the 8-byte strings that may be the minimizer of more windows than half a bucket holds; ``COMMON`` at most."""
+    if total <= bucket_windows:
+        return Common([])
+    sample = sample or (8 << 20) + total // 1000
+    share = min(1.0, sample / total)
+    least = max(4, int(min(sample, total) * bucket_windows / total / (2 * (LENGTH - GRAM + 1))))
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("text")
+    counts = some.mapInArrow(_counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    got = counts.orderBy(F.desc("n"), "hash").limit(COMMON).select("hash").toArrow()  # 8 MB at most
+    return Common(got.column("hash").to_pylist())
+
+
 def removed_spans(docs: DataFrame, bucket_windows: int = BUCKET) -> DataFrame:
     """(id, tag, start, n): runs of window starts that go; ``docs`` has doc_id, tag and text."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_windows))
-    packed = docs.mapInArrow(_cutter(buckets), "bucket int, blob binary")
+    packed = docs.mapInArrow(_cutter(buckets, common_strings(docs, total, bucket_windows)), "bucket int, blob binary")
     return packed.groupBy("bucket").applyInArrow(_bucket, FOUND)
 
 
