@@ -41,7 +41,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .common import new_folder, pick
+from .common import apart, new_folder, pick
 
 SCHEMA = (
     "record_type string, record_id string, target_uri string, date string, payload_digest string, refers_to string, "
@@ -390,7 +390,7 @@ def archived(pages: DataFrame) -> DataFrame:
     rows = pick(pages, page_id="long", url="string", html="string").withColumn("payload", F.coalesce("html", F.lit("")).cast("binary")).drop("html")
     rows = rows.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
     first = rows.filter(F.col("payload_bytes") >= LEAST).groupBy(F.col("payload_digest").alias("d")).agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, rows["payload_digest"] == first["d"], "left")
+    rows = rows.join(first.select(apart("d"), "first"), F.col("payload_digest") == F.col("d"), "left")  # pages of one payload can be dealt out
     again = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False))
     return rows.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"),
@@ -420,6 +420,8 @@ def write_and_read(pages: DataFrame, path: str | None = None) -> DataFrame:
     archived(pages).write.format("warc").mode("append").save(path)
     rows = spark.read.format("warc").load(path)
     kept = [f for f in rows.schema.fields if f.name != "payload"]
-    checked = rows.mapInArrow(_digests, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept))
+    # revisits are read by their headers alone: the type is pushed down, and without a payload column none is decoded
+    bare = spark.read.format("warc").schema(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)).load(path).filter("record_type = 'revisit'")
+    checked = rows.filter("record_type = 'response'").mapInArrow(_digests, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept))
     number = lambda c: F.when(F.col(c) == f"{URN}none", None).otherwise(F.substring(F.col(c), len(URN) + 1, 30)).cast("long")
-    return checked.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    return checked.unionByName(bare).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

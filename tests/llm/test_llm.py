@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import random
+import shutil
 import textwrap
 import time
 import zlib
@@ -140,6 +141,14 @@ def test_store_keeps_chunks_once_and_finds_damage(spark, tmp_path):
     assert ids == dict(expected_tokens([(r["doc_id"], r["text"]) for r in docs.collect()]))
     top = spark.read.parquet(f"{path}/manifest").orderBy(F.desc("level")).first()
     assert len(top["digest"]) == 64
+    assert len(T.verify_manifest(spark, path)) == 64
+    recipes = spark.read.parquet(f"{path}/recipes")
+    for k, change in enumerate(({"start": F.col("start") + 1}, {"doc_id": F.col("doc_id") + 1}, {"n_tokens": F.col("n_tokens") - 1}, {"root": F.unhex(F.lit("00" * 32))})):
+        damaged = f"file://{tmp_path}/damaged{k}"
+        shutil.copytree(f"{tmp_path}/store", f"{tmp_path}/damaged{k}", ignore=shutil.ignore_patterns("recipes"))
+        recipes.withColumns(change).write.parquet(f"{damaged}/recipes")
+        with pytest.raises(ValueError, match="don't match the manifest"):
+            T.read_digests(spark, damaged, 49_408)
     bad = chunks.withColumn("payload", F.concat("payload", F.lit(b"\0\0")))
     with pytest.raises(Exception, match="doesn't match its address"):
         bad.mapInArrow(T._verify(False), T.CHECKED).collect()
@@ -150,6 +159,9 @@ def test_encoder_equals_the_tokenizer_on_strange_texts():
     texts = ["Hello, World... don't I'll A.B, c!, <|endoftext|> x<|ENDOFTEXT|>", "ΣΑΣ Σ, İstanbul, ǅ ﬁ", "é x ́y", "a\tb\r\nc d e", "....,,, 12.5, $%& _x_ __", "ÀÉ, Ñandú. straße, µ", "文字。テスト, ٣٤ ²", "", " ", "x" * 300 + "," + "y"]
     rng = random.Random(3)
     texts += ["".join(rng.choice("abAB'’.,!?#*$%&;: \n\té文Σ<|>0_-") for _ in range(60)) for _ in range(300)]
+    # letters that lower-case to more than letters, marks of all kinds, letters of many scripts
+    strange = "aIé\u0130\u0130\u0131\u0307\u0301\u0345\u1e9e\u01c5\ufb01\u00df\u00aa\u00b5Σς文\u0e33\u0915\u093f\u200d.,;:!?#*$%&' -"
+    texts += ["".join(rng.choices(strange, k=rng.randint(1, 12))) for _ in range(100_000)]
     for _ in range(2):  # the second time from memory
         assert [np.frombuffer(b, dtype="<u2").tolist() for b in e.ids(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
