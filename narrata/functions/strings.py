@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 CARDINALS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
 ORDINALS = "zeroth first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth".split()
 PUNCT = "[^A-Za-z0-9\\s]"
+#: Suffixes that name the class of an unknown word.
 NOUN_SUFFIX = "(action|age|ance|cy|dom|ee|ence|er|hood|ion|ism|ist|ity|ling|ment|ness|or|ry|scape|ship|ty)$"
 VERB_SUFFIX = "(ate|ify|ise|ize)$"
 ADJ_SUFFIX = "(able|ese|ful|i|ian|ible|ic|ish|ive|less|ly|ous)$"
@@ -66,9 +67,9 @@ KINDS = (
     ("date", "[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}"),
     ("time", "[0-9]{1,2}:[0-9]{2}"),
     ("number", "[0-9]+(?:[.,][0-9]+)*"),
-    ("contraction", "[A-Za-z]+(?:n't|'[a-z]+)"),
-    ("word", "[A-Za-z]+(?:-[A-Za-z]+)*"),
-    ("mark", "[^\\sA-Za-z0-9]"),
+    ("contraction", "\\p{L}+(?:n't|'\\p{Ll}+)"),
+    ("word", "\\p{L}+(?:-\\p{L}+)*"),
+    ("mark", "[^\\s\\p{L}0-9]"),
 )
 TOKEN_PATTERN = "|".join(p for _, p in KINDS)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = "[A-Za-z']+"
-LONGEST = 32
+TOKEN = "[\\p{L}']+"  # letters of any script
+LONGEST = 32  # fixed value: the width of the dictionary's word column
 
 
 def tokens(docs: DataFrame, pattern: str = TOKEN) -> DataFrame:
@@ -19,8 +19,8 @@ def word_frequency(toks: DataFrame, known: DataFrame) -> DataFrame:
 
     ``known``: words (lower case) of the dictionary. Words longer than the dictionary's column are skipped.
     """
-    cap = F.col("w").rlike("^[A-Z][a-z']*$")
-    caps = F.col("w").rlike("^[A-Z][A-Z']+$")
+    cap = F.col("w").rlike("^\\p{Lu}[\\p{Ll}']*$")
+    caps = F.col("w").rlike("^\\p{Lu}[\\p{Lu}']+$")
     t = toks.withColumn("word", F.lower("w")).filter((F.length("word") <= LONGEST) & (F.col("word") != ""))
     t = t.join(known.select("word").distinct().withColumn("known", F.lit(True)), "word", "left").withColumn("new", F.col("known").isNull())
     n = lambda c: F.sum(c.cast("long"))

@@ -1,4 +1,4 @@
-"""Corpus statistics over ``documents``: English documents stand for the novels, rare words for unknown ones."""
+"""Corpus statistics over ``documents``, which stand for the novels; rare words stand for unknown ones."""
 
 from __future__ import annotations
 
@@ -11,18 +11,18 @@ from . import load, query
 #: Words of at least so many documents count as known to the dictionary.
 KNOWN_DOCS = 5
 
-TOK = """tok AS (SELECT doc_id, unnest(generate_series(0, len(a) - 1)) AS pos, unnest(a) AS w FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z'']+') AS a FROM documents WHERE lang = 'en')),
+TOK = """tok AS (SELECT doc_id, unnest(generate_series(0, len(a) - 1)) AS pos, unnest(a) AS w FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}'']+') AS a FROM documents)),
 t AS (SELECT *, lower(w) AS word FROM tok WHERE length(w) <= 32),
 known AS (SELECT word FROM t GROUP BY word HAVING count(DISTINCT doc_id) >= 5)"""
 PER_DOC = f"""{TOK}, f AS (SELECT doc_id, t.word, count(*) AS total, sum(CASE WHEN known.word IS NULL THEN 1 ELSE 0 END)::BIGINT AS unknown,
- sum(CASE WHEN known.word IS NULL AND regexp_full_match(w, '[A-Z][a-z'']*') THEN 1 ELSE 0 END)::BIGINT AS capitalized,
- sum(CASE WHEN known.word IS NULL AND regexp_full_match(w, '[A-Z][A-Z'']+') THEN 1 ELSE 0 END)::BIGINT AS all_caps,
+ sum(CASE WHEN known.word IS NULL AND regexp_full_match(w, '\\p{{Lu}}[\\p{{Ll}}'']*') THEN 1 ELSE 0 END)::BIGINT AS capitalized,
+ sum(CASE WHEN known.word IS NULL AND regexp_full_match(w, '\\p{{Lu}}[\\p{{Lu}}'']+') THEN 1 ELSE 0 END)::BIGINT AS all_caps,
  arg_min(contains(w, ''''), pos) AS first_apostrophe FROM t LEFT JOIN known ON t.word = known.word GROUP BY 1, 2)"""
 MERGED = f"""{PER_DOC}, m AS (SELECT word, sum(total)::BIGINT AS total, sum(unknown)::BIGINT AS unknown, sum(capitalized)::BIGINT AS capitalized, sum(all_caps)::BIGINT AS all_caps, max(doc_id) AS last_source FROM f GROUP BY word)"""
 
 
-def english(spark: SparkSession, sf: str) -> DataFrame:
-    return C.tokens(load(spark, sf, "documents").filter("lang = 'en'"))
+def words(spark: SparkSession, sf: str) -> DataFrame:
+    return C.tokens(load(spark, sf, "documents"))
 
 
 def known_words(toks: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def known_words(toks: DataFrame) -> DataFrame:
 
 
 def per_document(spark: SparkSession, sf: str) -> DataFrame:
-    toks = english(spark, sf)
+    toks = words(spark, sf)
     return C.word_frequency(toks, known_words(toks))
 
 
@@ -127,14 +127,14 @@ def tag_distribution(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, pos::INTEGER AS pos, word FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM u) WHERE r = 1""")
 def syntax_check(spark: SparkSession, sf: str) -> DataFrame:
     """First unknown token of each document."""
-    toks = english(spark, sf)
+    toks = words(spark, sf)
     t = toks.filter(F.length("w") <= C.LONGEST).withColumn("word", F.lower("w")).join(known_words(toks), "word", "left_anti")
     return t.groupBy("doc_id").agg(F.min_by("word", "pos").alias("word"), F.min("pos").alias("pos"))
 
 
-@query("""WITH s AS (SELECT doc_id, trim(unnest(string_split_regex(text, '[.!?]'))) AS s FROM documents WHERE lang = 'en'), n AS (SELECT doc_id, len(regexp_extract_all(s, '[A-Za-z'']+')) AS n FROM s)
+@query("""WITH s AS (SELECT doc_id, trim(unnest(string_split_regex(text, '[.!?]'))) AS s FROM documents), n AS (SELECT doc_id, len(regexp_extract_all(s, '[\\p{L}'']+')) AS n FROM s)
 SELECT doc_id, count(*) AS n_sentences, sum(n)::BIGINT AS n_words, max(n)::INTEGER AS longest, (sum(n) // count(*))::BIGINT AS average FROM n WHERE n > 0 GROUP BY doc_id""")
 def sentence_stats(spark: SparkSession, sf: str) -> DataFrame:
-    d = load(spark, sf, "documents").filter("lang = 'en'")
+    d = load(spark, sf, "documents")
     n = d.select("doc_id", F.explode(F.split("text", "[.!?]")).alias("s")).withColumn("n", F.size(F.regexp_extract_all("s", F.lit(C.TOKEN), 0))).filter("n > 0")
     return n.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum("n").alias("n_words"), F.max("n").alias("longest"), F.expr("sum(n) div count(*)").alias("average"))

@@ -13,7 +13,7 @@ from ..operators import relations as L
 from ..operators import text as T
 from ..operators import views as V
 from . import load, query
-from .corpus import english
+from .corpus import words
 from .markup import TYPED, typed
 from .questions import BEST, answers
 from .text import FLAGS, TOKENS
@@ -72,7 +72,7 @@ def view_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TOKENS} SELECT doc_id, pos::INTEGER AS pos, w FROM tok WHERE pos >= 20 AND pos < 30")
 def view_elements(spark: SparkSession, sf: str) -> DataFrame:
-    return V.elements(english(spark, sf), 20, 10)
+    return V.elements(words(spark, sf), 20, 10)
 
 
 @query(f"WITH {FLAGS} SELECT doc_id, line::INTEGER AS line, trim(s) AS title FROM f WHERE is_header AND NOT is_blank")
@@ -88,14 +88,14 @@ def view_agents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TOKENS} SELECT doc_id, count(*) AS uses, min(pos)::INTEGER AS first_pos, max(pos)::INTEGER AS last_pos FROM tok WHERE lower(w) = 'there' OR lower(w) = 'ther' GROUP BY doc_id HAVING count(*) FILTER (lower(w) = 'ther') = count(*)")
 def view_word_info(spark: SparkSession, sf: str) -> DataFrame:
-    t = english(spark, sf)
+    t = words(spark, sf)
     other = t.filter(F.lower("w") == "there").select("doc_id").distinct()
     return V.word_info(t, "ther").join(other, "doc_id", "left_anti")
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, pos::INTEGER AS pos, (max(CASE WHEN w = 'The' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))::INTEGER AS paragraph FROM tok")
 def view_paragraph_start(spark: SparkSession, sf: str) -> DataFrame:
-    return V.paragraph_start(english(spark, sf), "The").select("doc_id", "pos", "paragraph")
+    return V.paragraph_start(words(spark, sf), "The").select("doc_id", "pos", "paragraph")
 
 
 @query("""SELECT a.user_id AS doc_id, a.event_id AS pos, (SELECT string_agg(b.event_type, ',' ORDER BY b.event_id DESC) FROM (SELECT * FROM events b WHERE b.user_id = a.user_id AND b.event_id >= a.event_id - 500 AND b.event_id < a.event_id ORDER BY b.event_id DESC LIMIT 3) b) AS near FROM events a""")
@@ -165,12 +165,12 @@ def answer_music(spark: SparkSession, sf: str) -> DataFrame:
     return Q.music_answers(q, r)
 
 
-@query("""WITH a AS (SELECT DISTINCT 'user' || (user_id % 40) AS answer, 'click' AS wanted FROM events), t AS (SELECT DISTINCT 'user' || (user_id % 40) AS answer, event_type AS word FROM events WHERE event_id % 50 = 0)
+@query("""WITH t AS (SELECT DISTINCT user_id || ' ' || strftime(ts, '%Y-%m-%d') AS answer, event_type AS word FROM events), a AS (SELECT DISTINCT answer, 'click' AS wanted FROM t)
 SELECT a.answer, min(CASE WHEN word = 'click' THEN 25000 WHEN word = 'view' THEN 50000 ELSE 100000 END) AS confidence FROM a LEFT JOIN t ON a.answer = t.answer GROUP BY 1""")
 def answer_semantic(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "events").select("event_id", F.concat(F.lit("user"), (F.col("user_id") % 40).cast("string")).alias("answer"), F.col("event_type").alias("word"))
+    e = load(spark, sf, "events").select("event_id", F.concat_ws(" ", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("answer"), F.col("event_type").alias("word"))
     syn = spark.createDataFrame([("click", "view"), ("error", "view")], "word string, synonym string")
-    return Q.semantic_check(e.select("answer", F.lit("click").alias("wanted")).distinct(), e.filter("event_id % 50 = 0").select("answer", "word").distinct(), syn).select("answer", "confidence")
+    return Q.semantic_check(e.select("answer", F.lit("click").alias("wanted")).distinct(), e.select("answer", "word").distinct(), syn).select("answer", "confidence")
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 2 = 0 AND value > 20 THEN 1 WHEN event_id % 2 = 1 AND event_type = 'view' THEN 2 WHEN event_id % 2 = 1 AND value > 20 THEN 4 WHEN event_id % 2 = 0 AND event_type = 'click' THEN 5 WHEN event_type = 'click' THEN 6 END AS reason FROM events""")

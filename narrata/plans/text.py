@@ -9,12 +9,12 @@ from ..functions import strings as S
 from ..operators import corpus as C
 from ..operators import text as T
 from . import load, query
-from .corpus import english, known_words
+from .corpus import known_words, words
 
 LINES = "l AS (SELECT doc_id, unnest(range(len(a))) AS line, unnest(a) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))"
 FLAGS = f"""{LINES}, f AS (SELECT *, trim(s) = '' AS is_blank, regexp_matches(s, '^[ \\t]+[^ \\t]') AS is_indented, length(s) < 40 AS is_short,
 regexp_matches(upper(trim(s)), '{T.SECTION}') OR (regexp_matches(s, '[A-Z]') AND NOT regexp_matches(s, '[a-z]')) AS is_header, regexp_matches(s, '^[ \\t]*[0-9]+[.)]') AS is_numbered FROM l)"""
-TOKENS = "tok AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS w FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z'']+') AS a FROM documents WHERE lang = 'en'))"
+TOKENS = "tok AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS w FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}'']+') AS a FROM documents))"
 
 
 @query(f"""WITH {FLAGS} SELECT doc_id, count(*) AS n_lines, {', '.join(f"sum({c}::INT)::BIGINT AS {c.replace('is_', 'n_')}" for c in ('is_blank', 'is_indented', 'is_short', 'is_header', 'is_numbered'))} FROM f GROUP BY doc_id""")
@@ -42,7 +42,7 @@ def multiword_longest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _multiword(spark: SparkSession, sf: str) -> DataFrame:
-    toks = english(spark, sf)
+    toks = words(spark, sf)
     both = T.grams(toks, 2).unionByName(T.grams(toks, 3)).select("doc_id", "gram").distinct()
     entries = both.groupBy(F.col("gram").alias("entry")).count().filter("count >= 40").select("entry")
     return T.longest_entries(toks, entries)
@@ -60,21 +60,21 @@ _CLASSES = "CASE WHEN regexp_matches(w, '[0-9]') THEN '--unk_digit--' WHEN regex
 
 @query(f"WITH {TOKENS} SELECT c AS class, count(*) AS n FROM (SELECT {_CLASSES} AS c FROM tok) GROUP BY c")
 def unk_class(spark: SparkSession, sf: str) -> DataFrame:
-    return english(spark, sf).groupBy(S.unknown_class(F.col("w")).alias("class")).agg(F.count("*").alias("n"))
+    return words(spark, sf).groupBy(S.unknown_class(F.col("w")).alias("class")).agg(F.count("*").alias("n"))
 
 
 _KIND = "CASE " + " ".join("WHEN regexp_full_match(w, '{}') THEN '{}'".format(p.replace("'", "''"), n) for n, p in S.KINDS) + " END"
 
 
-@query(f"""WITH k AS (SELECT doc_id, unnest(regexp_extract_all(text, '{S.TOKEN_PATTERN.replace("'", "''")}')) AS w FROM documents WHERE lang = 'en') SELECT doc_id, {_KIND} AS kind, count(*) AS n FROM k GROUP BY 1, 2""")
+@query(f"""WITH k AS (SELECT doc_id, unnest(regexp_extract_all(text, '{S.TOKEN_PATTERN.replace("'", "''")}')) AS w FROM documents) SELECT doc_id, {_KIND} AS kind, count(*) AS n FROM k GROUP BY 1, 2""")
 def token_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    t = C.tokens(load(spark, sf, "documents").filter("lang = 'en'"), S.TOKEN_PATTERN)
+    t = C.tokens(load(spark, sf, "documents"), S.TOKEN_PATTERN)
     return t.groupBy("doc_id", S.token_kind(F.col("w")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query()
 def stem_words(spark: SparkSession, sf: str) -> DataFrame:
-    return T.stems(english(spark, sf).select(F.lower("w").alias("word")))
+    return T.stems(words(spark, sf).select(F.lower("w").alias("word")))
 
 
 _KNOWN = f"{TOKENS}, k AS (SELECT lower(w) AS word FROM tok WHERE length(w) <= 32 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5), v AS (SELECT DISTINCT lower(w) AS word FROM tok)"
@@ -83,7 +83,7 @@ _KNOWN = f"{TOKENS}, k AS (SELECT lower(w) AS word FROM tok WHERE length(w) <= 3
 @query(f"""WITH {_KNOWN}, p(prefix) AS (VALUES ('re'), ('un'), ('in'), ('th'), ('on'), ('over'))
 SELECT v.word, prefix, substr(v.word, length(prefix) + 1) AS rest FROM v JOIN p ON starts_with(v.word, prefix) AND length(v.word) > length(prefix) + 2 WHERE substr(v.word, length(prefix) + 1) IN (SELECT word FROM k)""")
 def prefix_strip(spark: SparkSession, sf: str) -> DataFrame:
-    toks = english(spark, sf)
+    toks = words(spark, sf)
     prefixes = spark.createDataFrame([(p,) for p in ("re", "un", "in", "th", "on", "over")], "prefix string")
     return T.strip_prefix(toks.select(F.lower("w").alias("word")).distinct(), prefixes, known_words(toks))
 
@@ -91,7 +91,7 @@ def prefix_strip(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def disincline(spark: SparkSession, sf: str) -> DataFrame:
     """Stems that are known words of their own."""
-    toks = english(spark, sf)
+    toks = words(spark, sf)
     known = known_words(toks).withColumnRenamed("word", "stem")
     return T.stems(toks.select(F.lower("w").alias("word"))).filter("stem <> word").join(known, "stem", "left_semi").select("word", "stem")
 
@@ -99,7 +99,7 @@ def disincline(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {TOKENS}, c AS (SELECT doc_id, pos, w, string_agg(w, ' ') OVER (d ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS b, string_agg(w, ' ') OVER (d ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING) AS a FROM tok WINDOW d AS (PARTITION BY doc_id ORDER BY pos))
 SELECT doc_id, pos::INTEGER AS pos, w, coalesce(b, '') AS before, coalesce(a, '') AS after FROM c WHERE lower(w) = 'from'""")
 def kwic(spark: SparkSession, sf: str) -> DataFrame:
-    return T.concordance(english(spark, sf), "from")
+    return T.concordance(words(spark, sf), "from")
 
 
 @query("SELECT page_id, replace(url_encode(url), '+', '%20') AS enc, url_decode(replace(url_encode(url), '+', '%20')) = url AS same FROM pages")
@@ -126,4 +126,4 @@ def filter_non_latin(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TOKENS} SELECT doc_id, pos::INTEGER AS pos, w FROM tok WHERE regexp_matches(w, '(?i)^tion') ORDER BY doc_id, pos LIMIT 31")
 def search_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    return english(spark, sf).filter(F.col("w").rlike("(?i)^tion")).orderBy("doc_id", "pos").limit(31)
+    return words(spark, sf).filter(F.col("w").rlike("(?i)^tion")).orderBy("doc_id", "pos").limit(31)
