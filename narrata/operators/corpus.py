@@ -89,11 +89,11 @@ def form_diff(stored: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFram
 
 
 def compare_tags(ours: DataFrame, theirs: DataFrame, on: list[str], same: DataFrame) -> DataFrame:
-    """agree, equivalent or differ for each token; ``same``: pairs (tag, other) that count as equal (a small map)."""
-    j = ours.join(theirs, on).join(F.broadcast(same.withColumn("_eq", F.lit(1))), ["tag", "other"], "left")
+    """agree, equivalent or differ for each token; ``same``: pairs (tag, other) that count as equal (a map of tags)."""
+    j = ours.join(theirs, on).join(same.withColumn("_eq", F.lit(1)), ["tag", "other"], "left")
     return j.withColumn("verdict", F.when(F.col("tag") == F.col("other"), "agree").when(F.col("_eq") == 1, "equivalent").otherwise("differ")).drop("_eq")
 
 
 def spread_errors(counts: DataFrame, ratios: DataFrame, key: str) -> DataFrame:
     """Split error counts by measured integer ratios: n * part div whole."""
-    return counts.join(F.broadcast(ratios), key).withColumn("n", F.expr("errors * part div whole"))
+    return counts.join(ratios, key).withColumn("n", F.expr("errors * part div whole"))

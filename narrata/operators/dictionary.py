@@ -38,7 +38,7 @@ def lookup(words: DataFrame, dictionary: DataFrame, forms: DataFrame) -> DataFra
 
 def override_costs(costs: DataFrame, override: DataFrame) -> DataFrame:
     """Costs set by hand take the place of computed ones; a preferred form costs nothing."""
-    o = F.broadcast(override.select("word", "form", F.col("cost").alias("_cost"), "preferred"))  # a hand-made list
+    o = override.select("word", "form", F.col("cost").alias("_cost"), "preferred")
     j = costs.join(o, ["word", "form"], "left")
     return j.withColumn("cost", F.when(F.col("preferred"), 0).otherwise(F.coalesce("_cost", "cost"))).drop("_cost", "preferred")
 

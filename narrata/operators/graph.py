@@ -31,7 +31,7 @@ def merge_sources(*edges: DataFrame) -> DataFrame:
     return e.groupBy("key").agg(F.array_sort(F.collect_set("super")).alias("super_classes"))
 
 
-def ranks(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+def ranks(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     """(node, rank): 0 without a resolvable parent, else the first (least) resolvable parent's rank + 1; cycles stay unranked.
 
     One join a level; a node is looked at again only until it has its rank.
@@ -45,10 +45,12 @@ def ranks(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
         if level.isEmpty():
             break
         done = done.unionByName(level)
+    else:
+        raise RuntimeError(f"classes lie more than {most} levels deep")
     return nodes.join(done, "node", "left").select("node", F.coalesce("rank", F.lit(UNRANKED)).alias("rank"))
 
 
-def closure(start: DataFrame, edges: DataFrame, stop: list[str], most: int = 50) -> DataFrame:
+def closure(start: DataFrame, edges: DataFrame, stop: list[str], most: int = 1000) -> DataFrame:
     """(node, super, distance): all super-classes, breadth first, each once; stop-list classes are not passed."""
     seen = cut(start.join(edges, F.col("node") == F.col("child")).filter(~F.col("parent").isin(*stop)).groupBy("node", F.col("parent").alias("super")).agg(F.lit(1).alias("distance")))
     frontier = seen
@@ -58,10 +60,12 @@ def closure(start: DataFrame, edges: DataFrame, stop: list[str], most: int = 50)
         if frontier.isEmpty():
             break
         seen = cut(seen.unionByName(frontier))
+    else:
+        raise RuntimeError(f"super-classes lie more than {most} steps away")
     return seen
 
 
-def hypernym_path(start: DataFrame, edges: DataFrame, most: int = 30) -> DataFrame:
+def hypernym_path(start: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     """(node, path): follow the first pointer upwards."""
     first = edges.groupBy("child").agg(F.min("parent").alias("up"))
     now = start.select("node", F.col("node").alias("at"), F.array("node").alias("path"), F.lit(True).alias("open"))
@@ -71,6 +75,8 @@ def hypernym_path(start: DataFrame, edges: DataFrame, most: int = 30) -> DataFra
         now = cut(now.select("node", F.when(go, F.col("up")).otherwise(F.col("at")).alias("at"), F.when(go, F.concat("path", F.array("up"))).otherwise(F.col("path")).alias("path"), go.alias("open")))
         if now.filter("open").isEmpty():
             break
+    else:
+        raise RuntimeError(f"a path has more than {most} steps")
     return now.select("node", F.array_join("path", ">").alias("path"))
 
 
@@ -89,7 +95,7 @@ def category_rank(uri: Column, table: list[tuple[str, int]], otherwise: int = UN
 
 def known_types(types: DataFrame, canonical: DataFrame) -> DataFrame:
     """Known classes under their canonical names, the least confidence value of each."""
-    return types.join(F.broadcast(canonical), "type").groupBy("entity", "canonical").agg(F.min("confidence").alias("confidence"))
+    return types.join(canonical, "type").groupBy("entity", "canonical").agg(F.min("confidence").alias("confidence"))
 
 
 def word_associations(types: DataFrame) -> DataFrame:
@@ -107,8 +113,11 @@ def synonyms(base: DataFrame, override: DataFrame, thesaurus: DataFrame, removed
 
 
 def coordinates(edges: DataFrame) -> DataFrame:
-    """(node, sister): terms with a common parent. A parent's children are counted first, and parents with more than the
-    thousands that a class hierarchy has are a data error, not a group to pair."""
+    """(node, sister): terms with a common parent. The result has a row for each pair, as the operation is defined; a
+    parent of more than 10,000 children is an error of the hierarchy, and raised as one."""
+    sizes = edges.groupBy("parent").agg(F.count("*").alias("n"))
+    small = sizes.filter(F.when(F.col("n") <= 10_000, True).otherwise(F.raise_error(F.lit("a class has too many children to pair")).cast("boolean")))
+    edges = edges.join(small.select("parent"), "parent")
     a, b = edges.alias("a"), edges.alias("b")
     return a.join(b, F.col("a.parent") == F.col("b.parent")).filter(F.col("a.child") != F.col("b.child")).select(F.col("a.child").alias("node"), F.col("b.child").alias("sister")).distinct()
 

@@ -109,7 +109,7 @@ def two_step(first: DataFrame, second: DataFrame) -> DataFrame:
 def transformed(questions: DataFrame, rules: DataFrame) -> DataFrame:
     """Rewrites: for each rule whose verb is the question's, a copy with the rule's verb, its preposition, and subject
     and object exchanged where the rule says so. Originals stay."""
-    j = questions.join(F.broadcast(rules.select(F.col("verb").alias("_v"), "new_verb", "new_prep", "swap")), F.col("verb") == F.col("_v"))  # a rule file
+    j = questions.join(rules.select(F.col("verb").alias("_v"), "new_verb", "new_prep", "swap"), F.col("verb") == F.col("_v"))
     new = j.select(
         "q_id", F.when(F.col("swap"), F.col("object")).otherwise(F.col("subject")).alias("subject"), F.col("new_verb").alias("verb"),
         F.when(F.col("swap"), F.col("subject")).otherwise(F.col("object")).alias("object"), F.coalesce("new_prep", "prep").alias("prep"), "prep_object", "negation",

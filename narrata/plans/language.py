@@ -85,18 +85,18 @@ def hmm_kfold(spark: SparkSession, sf: str) -> DataFrame:
 
 ORDER = 3
 COUNTS = f"""{SENT}, x AS (SELECT list_concat(list_concat(['<s>'], a), ['</s>']) AS w FROM s), o AS (SELECT unnest([1, 2, 3]) AS n),
-i AS (SELECT n, w, unnest(range(1, len(w) - n + 2)) AS i FROM x, o WHERE len(w) >= n), raw AS (SELECT n, array_to_string(w[i:i+n-1], ' ') AS gram, count(*) AS raw FROM i GROUP BY 1, 2),
-r AS (SELECT *, regexp_extract(gram, '[^ ]+$') AS word, CASE WHEN n = 1 THEN '' ELSE regexp_replace(gram, ' [^ ]+$', '') END AS context FROM raw)"""
+i AS (SELECT n, w, unnest(range(1, len(w) - n + 2)) AS i FROM x, o WHERE len(w) >= n), raw AS MATERIALIZED (SELECT n, array_to_string(w[i:i+n-1], ' ') AS gram, count(*) AS raw FROM i GROUP BY 1, 2),
+r AS MATERIALIZED (SELECT *, regexp_extract(gram, '[^ ]+$') AS word, CASE WHEN n = 1 THEN '' ELSE regexp_replace(gram, ' [^ ]+$', '') END AS context FROM raw)"""
 ADJ = f"""{COUNTS}, lf AS (SELECT n - 1 AS n, substr(gram, instr(gram, ' ') + 1) AS gram, count(DISTINCT split_part(gram, ' ', 1)) AS lefts FROM r WHERE n > 1 GROUP BY 1, 2),
-adj AS (SELECT r.n, r.gram, context, word, raw, (CASE WHEN r.n = 1 AND r.gram = '<s>' THEN 0 WHEN r.n = 3 OR split_part(r.gram, ' ', 1) = '<s>' THEN raw ELSE coalesce(lefts, 0) END)::BIGINT AS adj FROM r LEFT JOIN lf ON r.n = lf.n AND r.gram = lf.gram)"""
+adj AS MATERIALIZED (SELECT r.n, r.gram, context, word, raw, (CASE WHEN r.n = 1 AND r.gram = '<s>' THEN 0 WHEN r.n = 3 OR split_part(r.gram, ' ', 1) = '<s>' THEN raw ELSE coalesce(lefts, 0) END)::BIGINT AS adj FROM r LEFT JOIN lf ON r.n = lf.n AND r.gram = lf.gram)"""
 DISC = f"""{ADJ}, nn AS (SELECT n, {', '.join(f'sum(CASE WHEN adj = {k} THEN 1 ELSE 0 END)::DOUBLE AS n{k}' for k in (1, 2, 3, 4))} FROM adj GROUP BY n),
 dd AS (SELECT *, {', '.join(f'{j}.0::DOUBLE - {j + 1}.0::DOUBLE * (n1 / (n1 + 2 * n2)) * n{j + 1} / nullif(n{j}, 0) AS e{j}' for j in (1, 2, 3))} FROM nn),
-disc AS (SELECT n, {', '.join(f'CASE WHEN n1 > 0 AND n2 > 0 AND n3 > 0 AND n4 > 0 AND e1 BETWEEN 0 AND 1 AND e2 BETWEEN 0 AND 2 AND e3 BETWEEN 0 AND 3 THEN e{j} ELSE {0.5 * j}::DOUBLE END AS d{j}' for j in (1, 2, 3))} FROM dd)"""
-UNI = f"""{DISC}, a AS (SELECT adj.*, CASE WHEN adj = 1 THEN d1 WHEN adj = 2 THEN d2 ELSE d3 END AS d FROM adj JOIN disc USING (n) WHERE adj > 0),
-c AS (SELECT n, context, sum(adj) AS total, sum(d) AS taken FROM a GROUP BY 1, 2), u AS (SELECT a.n, gram, a.context, word, (adj - d) / total AS p, taken / total AS gamma FROM a JOIN c ON a.n = c.n AND a.context = c.context)"""
-PROB = f"""{UNI}, v AS (SELECT count(*) + 1 AS v FROM adj WHERE n = 1 AND word <> '<s>'), p1 AS (SELECT n, gram, p + gamma / v AS prob FROM u, v WHERE n = 1),
-p2 AS (SELECT u.n, u.gram, p + gamma * p1.prob AS prob FROM u JOIN p1 ON p1.gram = substr(u.gram, instr(u.gram, ' ') + 1) WHERE u.n = 2),
-p3 AS (SELECT u.n, u.gram, p + gamma * p2.prob AS prob FROM u JOIN p2 ON p2.gram = substr(u.gram, instr(u.gram, ' ') + 1) WHERE u.n = 3)"""
+disc AS MATERIALIZED (SELECT n, {', '.join(f'CASE WHEN n1 > 0 AND n2 > 0 AND n3 > 0 AND n4 > 0 AND e1 BETWEEN 0 AND 1 AND e2 BETWEEN 0 AND 2 AND e3 BETWEEN 0 AND 3 THEN e{j} ELSE {0.5 * j}::DOUBLE END AS d{j}' for j in (1, 2, 3))} FROM dd)"""
+UNI = f"""{DISC}, a AS MATERIALIZED (SELECT adj.*, CASE WHEN adj = 1 THEN d1 WHEN adj = 2 THEN d2 ELSE d3 END AS d FROM adj JOIN disc USING (n) WHERE adj > 0),
+c AS (SELECT n, context, sum(adj) AS total, sum(d) AS taken FROM a GROUP BY 1, 2), u AS MATERIALIZED (SELECT a.n, gram, a.context, word, (adj - d) / total AS p, taken / total AS gamma FROM a JOIN c ON a.n = c.n AND a.context = c.context)"""
+PROB = f"""{UNI}, v AS (SELECT count(*) + 1 AS v FROM adj WHERE n = 1 AND word <> '<s>'), p1 AS MATERIALIZED (SELECT n, gram, p + gamma / v AS prob FROM u, v WHERE n = 1),
+p2 AS MATERIALIZED (SELECT u.n, u.gram, p + gamma * p1.prob AS prob FROM u JOIN p1 ON p1.gram = substr(u.gram, instr(u.gram, ' ') + 1) WHERE u.n = 2),
+p3 AS MATERIALIZED (SELECT u.n, u.gram, p + gamma * p2.prob AS prob FROM u JOIN p2 ON p2.gram = substr(u.gram, instr(u.gram, ' ') + 1) WHERE u.n = 3)"""
 
 
 @query(f"WITH {COUNTS} SELECT n::INTEGER AS n, gram, raw FROM r")
