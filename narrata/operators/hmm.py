@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 START = "--s--"
 BREAK = "--n--"
 
@@ -78,16 +80,19 @@ def viterbi(words: list[str], states: list[str], first: np.ndarray, trans: np.nd
     return [states[i] for i in reversed(path)]
 
 
-def decode(sentences: DataFrame, transition: DataFrame, emission: DataFrame, alpha: float = 0.001) -> DataFrame:
-    """(sent, tags): sentences (sent, words array) tagged in Arrow batches. The model (tag set by vocabulary) is
-    collected: it is bounded by the vocabulary, and checked against ``most`` entries."""
-    most = 5_000_000
+def decode(sentences: DataFrame, transition: DataFrame, emission: DataFrame, alpha: float = 0.001, most: int = 5_000_000) -> DataFrame:
+    """(sent, tags): sentences (sent, words array) tagged in Arrow batches.
+
+    ``emission``: counts (tag, word, n) over a vocabulary in which rare words are classes; ``sentences`` name the same
+    classes. A word that a tag wasn't seen with has alpha / (context + alpha N). The model (tag set by vocabulary) is
+    collected: it is bounded by the vocabulary, and an error beyond ``most`` entries.
+    """
     t, e = transition.toPandas(), emission.limit(most + 1).toPandas()
     if len(e) > most:
         raise ValueError("the emission table is too large to send to every task")
     states = sorted(set(e["tag"]))
     at = {s: i for i, s in enumerate(states)}
-    k = len(states)
+    k, n_words = len(states), e["word"].nunique()
     tiny = np.log(1e-12)
     trans, first, last = np.full((k, k), tiny), np.full(k, tiny), np.full(k, tiny)
     for prev, tag, p in zip(t["prev"], t["tag"], t["p"], strict=True):
@@ -97,14 +102,16 @@ def decode(sentences: DataFrame, transition: DataFrame, emission: DataFrame, alp
             last[at[prev]] = np.log(p)
         elif prev in at and tag in at:
             trans[at[prev], at[tag]] = np.log(p)
+    context = e.groupby("tag")["n"].sum().reindex(states).to_numpy(dtype=float)
+    unseen = np.log(alpha / (context + alpha * n_words))
     emit: dict[str, np.ndarray] = {}
-    for tag, word, p in zip(e["tag"], e["word"], e["p"], strict=True):
-        emit.setdefault(word, np.full(k, tiny))[at[tag]] = np.log(p)
-    model = sentences.sparkSession.sparkContext.broadcast((states, first, trans, emit, last))
+    for tag, word, n in zip(e["tag"], e["word"], e["n"], strict=True):
+        i = at[tag]
+        emit.setdefault(word, unseen.copy())[i] = np.log((n + alpha) / (context[i] + alpha * n_words))
+    model = sentences.sparkSession.sparkContext.broadcast((states, first, trans, emit, unseen, last))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states, first, trans, emit, last = model.value
-        unseen = np.zeros(len(states))
+        states, first, trans, emit, unseen, last = model.value
         for b in batches:
             tags = [viterbi(w or [], states, first, trans, emit, unseen, last) for w in b.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("sent"), pa.array(tags, pa.list_(pa.string()))], names=["sent", "tags"])
@@ -115,8 +122,21 @@ def decode(sentences: DataFrame, transition: DataFrame, emission: DataFrame, alp
 def folds(df: DataFrame, order: str, k: int) -> DataFrame:
     """Contiguous portions of floor(n / k) rows; a remainder becomes an extra portion."""
     n = df.agg(F.expr(f"greatest(count(*) div {k}, 1)").alias("_size"))
-    numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
-    return numbered.join(F.broadcast(n)).withColumn("fold", F.expr("_i div _size").cast("long")).drop("_i", "_size")
+    size = n.first()["_size"]
+    # rows are numbered by range: each range by itself, then the ranges' sizes before it are added
+    ranged = cut(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    before, offsets = 0, []
+    for p, rows in sorted(map(tuple, ranged.groupBy("_p").count().collect())):  # a row for each partition
+        offsets.append((p, before))
+        before += rows
+    offset = F.broadcast(df.sparkSession.createDataFrame(offsets, "_p int, _o long"))  # as many rows as partitions
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1 + F.col("_o")
+    return ranged.join(offset, "_p").withColumn("_i", place).withColumn("fold", F.floor(F.col("_i") / size).cast("long")).drop("_i", "_p", "_o")
+
+
+def confusion(pairs: DataFrame) -> DataFrame:
+    """(gold, tag, n): how often each tag was given for each."""
+    return pairs.groupBy("gold", "tag").agg(F.count("*").alias("n"))
 
 
 def accuracy(pairs: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 BOS, EOS, UNK = "<s>", "</s>", "<unk>"
 
 
@@ -62,7 +64,7 @@ def discounted(adj: DataFrame, disc: DataFrame) -> DataFrame:
 
 def probabilities(adj: DataFrame, disc: DataFrame, order: int) -> DataFrame:
     """(n, gram, prob): interpolated with all lower orders, down to the uniform over the vocabulary (<unk> included, <s> not)."""
-    u = discounted(adj, disc)
+    u = cut(discounted(adj, disc))  # every order reads it
     size = adj.filter((F.col("n") == 1) & (F.col("word") != BOS)).agg((F.count("*") + 1).alias("v"))
     low = u.filter("n = 1").join(F.broadcast(size)).select("n", "gram", (F.col("p") + F.col("gamma") / F.col("v")).alias("prob"))
     out = low

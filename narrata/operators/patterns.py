@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 
 @dataclass(frozen=True)
@@ -103,7 +105,7 @@ def bottom_up(toks: DataFrame, singles: DataFrame, grammar: tuple[Pattern, ...])
     parts, found = singles.select(*cols), None
     for level in levels(grammar):
         for p in level:
-            m = match(toks, parts, p).select(*cols)
+            m = cut(match(toks, parts, p).select(*cols))  # higher levels read it again and again
             found = m if found is None else found.unionByName(m)
         parts = singles.select(*cols).unionByName(found)
     return found

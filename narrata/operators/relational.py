@@ -101,3 +101,16 @@ def within(points: DataFrame, spans: DataFrame, doc: str, pos: str, begin: str,
     p = points.withColumn("_cell", F.floor(F.col(pos) / width))
     s = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(begin) / width), F.floor((F.greatest(F.col(end), F.col(begin) + 1) - 1) / width))))
     return p.join(s, [doc, "_cell"]).filter((F.col(pos) >= F.col(begin)) & (F.col(pos) < F.col(end))).drop("_cell")
+
+
+def claimed(rows: DataFrame, order: list[str], workers: int) -> DataFrame:
+    """The first ``workers`` rows in order, each with the number of the worker that takes it. A worker that comes later
+    finds them gone, as rows that are taken are skipped, not waited for."""
+    first = rows.orderBy(*order).limit(workers)  # as many rows as there are workers
+    return first.withColumn("worker", F.row_number().over(Window.orderBy(*order)) - 1)
+
+
+def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Each table without the rows of the keys that go."""
+    keys = gone.select(key).distinct()
+    return {name: t.join(keys, key, "left_anti") for name, t in tables.items()}

@@ -28,4 +28,4 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import corpus, entities, grammar, graph, language, markup, more, patterns, questions, relational, scans, text  # noqa: F401
+    from . import corpus, entities, extra, grammar, graph, language, markup, more, patterns, questions, relational, scans, text  # noqa: F401

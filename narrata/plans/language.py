@@ -62,20 +62,58 @@ def hmm_trigram(spark: SparkSession, sf: str) -> DataFrame:
     return H.trigram_transitions(tagged(spark, sf))
 
 
-def _decoded(spark: SparkSession, sf: str) -> DataFrame:
-    t = tagged(spark, sf)
-    return H.decode(sentences(spark, sf), H.transition_probabilities(H.transitions(t)), H.emission_probabilities(H.emissions(t)))
+def _split(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences with their folds; the first of ten is held out, the others train."""
+    return H.folds(sentences(spark, sf).select("sent"), "sent", 10)
 
 
-@query()
+def _decoded(spark: SparkSession, sf: str) -> DataFrame:
+    t, fold = tagged(spark, sf), cut(_split(spark, sf))
+    train = cut(t.join(fold.filter("fold > 0").select("sent"), "sent", "left_semi"))
+    vocab = cut(H.vocabulary(train))
+    known = H.with_unknown(train, vocab, unknown_class)
+    read = H.with_unknown(t, vocab, unknown_class).groupBy("sent").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("words"))
+    return H.decode(read, H.transition_probabilities(H.transitions(train)), H.emissions(known))
+
+
+#: The model of nine folds, and every sentence's best path position by position: the best way to each state, with its tags.
+VITERBI = f"""{TAGGED}, fold AS (SELECT sent, (row_number() OVER (ORDER BY sent) - 1) // greatest(count(*) OVER () // 10, 1) AS fold FROM s),
+tn AS MATERIALIZED (SELECT tg.* FROM tg JOIN fold USING (sent) WHERE fold > 0), voc AS MATERIALIZED (SELECT word FROM tn GROUP BY word HAVING count(*) >= 2),
+rd AS MATERIALIZED (SELECT sent, pos, tag, CASE WHEN voc.word IS NULL THEN {_CLASSES.replace('(w,', '(tg.word,')} ELSE tg.word END AS word FROM tg LEFT JOIN voc ON tg.word = voc.word),
+em AS MATERIALIZED (SELECT rd.tag, word, count(*) AS n FROM rd JOIN fold USING (sent) WHERE fold > 0 GROUP BY 1, 2), ct AS MATERIALIZED (SELECT tag, sum(n) AS ctx, (SELECT count(DISTINCT word) FROM em) AS nw FROM em GROUP BY 1),
+lo AS MATERIALIZED (SELECT w.word, ct.tag, ln((coalesce(em.n, 0) + 0.001::DOUBLE) / (ctx + 0.001::DOUBLE * nw)) AS e FROM (SELECT DISTINCT word FROM rd) w CROSS JOIN ct LEFT JOIN em ON em.word = w.word AND em.tag = ct.tag),
+tr AS MATERIALIZED (SELECT prev, tag, count(*) AS n FROM (SELECT coalesce(lag(tag) OVER (PARTITION BY sent ORDER BY pos), '--s--') AS prev, tag FROM tn UNION ALL SELECT arg_max(tag, pos), '--s--' FROM tn GROUP BY sent) GROUP BY 1, 2),
+st AS (SELECT tag FROM tr UNION SELECT prev FROM tr), cx AS (SELECT prev, sum(n) AS ctx FROM tr GROUP BY 1),
+tp AS MATERIALIZED (SELECT cx.prev, st.tag, ln((coalesce(tr.n, 0) + 0.001::DOUBLE) / (ctx + 0.001::DOUBLE * (SELECT count(*) FROM st))) AS p FROM cx CROSS JOIN st LEFT JOIN tr ON tr.prev = cx.prev AND tr.tag = st.tag),
+vt AS (SELECT rd.sent, 0::BIGINT AS pos, lo.tag, tp.p + lo.e AS score, [lo.tag] AS path FROM rd JOIN lo USING (word) JOIN tp ON tp.prev = '--s--' AND tp.tag = lo.tag WHERE rd.pos = 0
+UNION ALL SELECT sent, pos, tag, score, path FROM (SELECT vt.sent, rd.pos, lo.tag, max(vt.score + tp.p) + any_value(lo.e) AS score, list_append(arg_max(vt.path, vt.score + tp.p), lo.tag) AS path
+FROM vt JOIN rd ON rd.sent = vt.sent AND rd.pos = vt.pos + 1 JOIN lo ON lo.word = rd.word JOIN tp ON tp.prev = vt.tag AND tp.tag = lo.tag GROUP BY vt.sent, rd.pos, lo.tag)),
+lastpos AS (SELECT sent, max(pos) AS pos FROM rd GROUP BY 1),
+dec AS (SELECT vt.sent, arg_max(path, score + tp.p) AS tags FROM vt JOIN lastpos USING (sent, pos) JOIN tp ON tp.prev = vt.tag AND tp.tag = '--s--' GROUP BY vt.sent)"""
+HELD = f"""{VITERBI}, pr AS (SELECT rd.tag AS gold, tags[rd.pos + 1] AS tag FROM rd JOIN dec USING (sent) JOIN fold USING (sent) WHERE fold = 0)"""
+
+
+@query(f"WITH RECURSIVE {VITERBI} SELECT sent, tags FROM dec")
 def hmm_viterbi(spark: SparkSession, sf: str) -> DataFrame:
+    """All sentences, tagged by a model of nine folds; words outside its vocabulary stand for their class."""
     return _decoded(spark, sf)
 
 
-@query()
+def _held(spark: SparkSession, sf: str) -> DataFrame:
+    said = _decoded(spark, sf).select("sent", F.posexplode("tags").alias("pos", "tag")).join(_split(spark, sf).filter("fold = 0").select("sent"), "sent", "left_semi")
+    return tagged(spark, sf).select("sent", "pos", F.col("tag").alias("gold")).join(said, ["sent", "pos"])
+
+
+@query(f"""WITH RECURSIVE {HELD}, gd AS (SELECT gold AS tag, count(*) AS n_gold, sum((gold = tag)::INT)::BIGINT AS n_right FROM pr GROUP BY 1), b AS (SELECT tag, count(*) AS n_said FROM pr GROUP BY 1)
+SELECT gd.tag, n_gold, coalesce(n_said, 0) AS n_said, n_right, n_right / n_gold AS recall FROM gd LEFT JOIN b ON gd.tag = b.tag""")
 def hmm_eval(spark: SparkSession, sf: str) -> DataFrame:
-    said = _decoded(spark, sf).select("sent", F.posexplode("tags").alias("pos", "tag"))
-    return H.accuracy(tagged(spark, sf).select("sent", "pos", F.col("tag").alias("gold")).join(said, ["sent", "pos"]))
+    """On the held-out fold."""
+    return H.accuracy(_held(spark, sf))
+
+
+@query(f"WITH RECURSIVE {HELD} SELECT gold, tag, count(*) AS n FROM pr GROUP BY 1, 2")
+def hmm_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return H.confusion(_held(spark, sf))
 
 
 @query(f"WITH {SENT}, n AS (SELECT sent, row_number() OVER (ORDER BY sent) - 1 AS i, count(*) OVER () // 10 AS k FROM s) SELECT sent, (i // greatest(k, 1))::BIGINT AS fold FROM n")

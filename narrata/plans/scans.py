@@ -69,12 +69,14 @@ def sink_crosstab(spark: SparkSession, sf: str) -> DataFrame:
     return K.crosstab(load(spark, sf, "events"), "user_id", "event_type", ["view", "error"])
 
 
-@query("""SELECT item_id AS doc_id, string_agg('<span id="' || p || '">' || w || '</span>', ' ' ORDER BY p) AS html FROM (SELECT item_id, unnest(range(len(a))) AS p, unnest(a) AS w FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z'']+') AS a FROM benchmark)) GROUP BY item_id""")
+@query("""SELECT item_id AS doc_id, string_agg('<span id="' || p || '">' || w || '</span>', ' ' ORDER BY p) AS html FROM (SELECT item_id, unnest(range(len(a))) AS p, unnest(a) AS w FROM (SELECT item_id, regexp_extract_all(text, '[\\p{L}'']+') AS a FROM benchmark)) GROUP BY item_id""")
 def sink_html(spark: SparkSession, sf: str) -> DataFrame:
     return K.html_page(C.tokens(load(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id")))
 
 
-@query()
+@query("""WITH RECURSIVE t AS MATERIALIZED (SELECT item_id AS doc_id, unnest(range(len(a))) AS pos, unnest(a) AS w FROM (SELECT item_id, regexp_extract_all(text, '[\\p{L}'']+') AS a FROM benchmark)),
+f AS (SELECT doc_id, pos, length(w) AS used, 0 AS row FROM t WHERE pos = 0 UNION ALL SELECT t.doc_id, t.pos, CASE WHEN used + 1 + length(w) > 60 THEN length(w) ELSE used + 1 + length(w) END, CASE WHEN used + 1 + length(w) > 60 THEN row + 1 ELSE row END
+FROM f JOIN t ON t.doc_id = f.doc_id AND t.pos = f.pos + 1) SELECT doc_id, pos::INTEGER AS pos, (row // 40)::INTEGER AS page, (row % 40)::INTEGER AS line FROM f""")
 def sink_layout(spark: SparkSession, sf: str) -> DataFrame:
     return K.pages_by_width(C.tokens(load(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id")))
 

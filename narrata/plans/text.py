@@ -32,11 +32,17 @@ def section_headers(spark: SparkSession, sf: str) -> DataFrame:
     return T.line_flags(T.lines(load(spark, sf, "documents"))).filter("is_header and not is_blank and is_short").select("doc_id", "line", "s")
 
 
-@query(f"""WITH {TOKENS}, g2 AS (SELECT doc_id, pos, lower(w) || ' ' || lower(lead(w) OVER d) AS gram FROM tok WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+MULTI = f"""{TOKENS}, g2 AS (SELECT doc_id, pos, lower(w) || ' ' || lower(lead(w) OVER d) AS gram FROM tok WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
 g3 AS (SELECT doc_id, pos, lower(w) || ' ' || lower(lead(w) OVER d) || ' ' || lower(lead(w, 2) OVER d) AS gram FROM tok WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
 e AS (SELECT gram FROM (SELECT * FROM g2 UNION ALL SELECT * FROM g3) WHERE gram IS NOT NULL GROUP BY gram HAVING count(DISTINCT doc_id) >= 40),
-f AS (SELECT doc_id, pos, gram, 2 AS n FROM g2 WHERE gram IN (SELECT gram FROM e) UNION ALL SELECT doc_id, pos, gram, 3 FROM g3 WHERE gram IN (SELECT gram FROM e))
-SELECT doc_id, pos::INTEGER AS pos, arg_max(gram, n) AS entry, max(n)::INTEGER AS n FROM f GROUP BY doc_id, pos""")
+f AS (SELECT doc_id, pos, gram, 2 AS n FROM g2 WHERE gram IN (SELECT gram FROM e) UNION ALL SELECT doc_id, pos, gram, 3 FROM g3 WHERE gram IN (SELECT gram FROM e)),
+m AS MATERIALIZED (SELECT doc_id, pos::INTEGER AS pos, arg_max(gram, n) AS entry, max(n)::INTEGER AS n FROM f GROUP BY doc_id, pos)"""
+#: A cover from left to right: from each row on to the first that begins where it ends or later.
+COVER = """nx AS MATERIALIZED (SELECT m.doc_id, m.pos, g.pos AS nxt FROM m ASOF LEFT JOIN m g ON m.doc_id = g.doc_id AND m.pos + m.n <= g.pos),
+cv AS (SELECT doc_id, min(pos) AS pos FROM m GROUP BY doc_id UNION ALL SELECT nx.doc_id, nx.nxt FROM cv JOIN nx ON cv.doc_id = nx.doc_id AND cv.pos = nx.pos WHERE nxt IS NOT NULL)"""
+
+
+@query(f"WITH {MULTI} SELECT * FROM m")
 def multiword_longest(spark: SparkSession, sf: str) -> DataFrame:
     return _multiword(spark, sf)
 
@@ -48,7 +54,7 @@ def _multiword(spark: SparkSession, sf: str) -> DataFrame:
     return T.longest_entries(toks, entries)
 
 
-@query()
+@query(f"WITH RECURSIVE {MULTI}, {COVER} SELECT m.* FROM m JOIN cv USING (doc_id, pos)")
 def multiword_cover(spark: SparkSession, sf: str) -> DataFrame:
     return T.greedy(_multiword(spark, sf))
 

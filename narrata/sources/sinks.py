@@ -2,17 +2,54 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only under a local master without it."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set")
+        where = "file://" + tempfile.mkdtemp(prefix="narrata-out-")
+    return where.rstrip("/")
+
+
 def write_bucketed(df: DataFrame, path: str, key: str, buckets: int = 32, mode: str = "overwrite") -> None:
     """Parquet in folders by a hash of ``key``: readers of one document open one folder."""
     df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(path)
 
 
+def read_bucket(spark: SparkSession, path: str, key: str, value: object, buckets: int = 32) -> DataFrame:
+    """The rows of one key: its bucket is computed first, so that the partition filter is a literal."""
+    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(value).cast("long")), F.lit(buckets)).cast("int")).first()[0]
+    return spark.read.parquet(path).filter((F.col("bucket") == bucket) & (F.col(key) == value))
+
+
+def insert_batch(df: DataFrame, path: str) -> None:
+    """Append a batch; a batch that fails leaves nothing that readers see."""
+    df.write.mode("append").parquet(path)
+
+
+def table_as_select(spark: SparkSession, df: DataFrame, path: str, name: str | None = None) -> DataFrame:
+    """CREATE TABLE AS SELECT at a path of the shared folder."""
+    name, view = name or f"t_{uuid.uuid4().hex}", f"v_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(view)
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}' AS SELECT * FROM {view}")
+    return spark.table(name)
+
+
+def in_memory(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """Kept in the executors' memory where the planner's size of it is within ``most`` bytes; else as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.cache() if size <= most else df
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", "true").csv(path)
 

@@ -10,10 +10,28 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def whole_texts(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFrame:
-    """(path, text): one row a file, decoded."""
+def whole_texts(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """(path, text): one row a file, decoded by the encoding given or found."""
     b = spark.read.format("binaryFile").load(path)
-    return b.select("path", F.decode("content", charset).alias("text"))
+    return b.select("path", (F.decode("content", encoding) if encoding else decoded(F.col("content"))).alias("text"))
+
+
+def charset(content: Column) -> Column:
+    """UTF-16 by its byte order mark, UTF-8 where the bytes are valid, else the Western code page."""
+    mark = F.hex(F.substring(content, 1, 2)).isin("FEFF", "FFFE")
+    return F.when(mark, "UTF-16").when(F.is_valid_utf8(content.cast("string")), "UTF-8").otherwise("windows-1252")
+
+
+#: The code page's letters for the bytes 80 to 9F.
+CP1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+
+
+def decoded(content: Column) -> Column:
+    """Text of bytes in the charset that ``charset`` finds, without a byte order mark."""
+    which = charset(content)
+    western = F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, range(0x80, 0xA0))), CP1252)
+    text = F.when(which == "UTF-16", F.decode(content, "UTF-16")).when(which == "UTF-8", content.cast("string")).otherwise(western)
+    return F.regexp_replace(text, "^\\ufeff", "")
 
 
 def count_files(spark: SparkSession, path: str) -> DataFrame:

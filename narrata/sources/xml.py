@@ -18,14 +18,30 @@ def accepted_books(books: DataFrame, existing: DataFrame, classes: str = "^P[A-Z
     return books.filter(ok).join(existing.select("id"), "id", "left_anti")
 
 
-VERB_SCHEMA = "_ID string, MEMBERS struct<MEMBER:array<struct<_name:string>>>, SUBCLASSES struct<VNSUBCLASS:array<struct<_ID:string,MEMBERS:struct<MEMBER:array<struct<_name:string>>>>>>"
+LEVELS = 4  # schema depth of nested subclasses; Spark's XML schemas can't be recursive
 
 
-def verb_members(classes: DataFrame) -> DataFrame:
-    """(verb, class) of a class column ``c`` and its subclasses."""
-    top = classes.select(F.col("c._ID").alias("class"), F.explode_outer("c.MEMBERS.MEMBER").alias("m"))
-    sub = classes.select(F.explode_outer("c.SUBCLASSES.VNSUBCLASS").alias("s")).select(F.col("s._ID").alias("class"), F.explode_outer("s.MEMBERS.MEMBER").alias("m"))
-    return top.unionByName(sub).select(F.col("m._name").alias("verb"), "class").filter("verb is not null")
+def verb_schema(levels: int = LEVELS) -> str:
+    members = "MEMBERS struct<MEMBER:array<struct<_name:string>>>"
+    inner = f"_ID string, {members}"
+    for _ in range(levels):
+        inside = inner.replace("_ID string", "_ID:string").replace("MEMBERS struct", "MEMBERS:struct").replace("SUBCLASSES struct", "SUBCLASSES:struct")
+        inner = f"_ID string, {members}, SUBCLASSES struct<VNSUBCLASS:array<struct<{inside}>>>"
+    return inner
+
+
+VERB_SCHEMA = verb_schema()
+
+
+def verb_members(classes: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(verb, class) of a class column ``c`` and its subclasses, level by level."""
+    now, out = classes.select("c"), None
+    for k in range(levels + 1):
+        rows = now.select(F.col("c._ID").alias("class"), F.explode("c.MEMBERS.MEMBER").alias("m")).select(F.col("m._name").alias("verb"), "class").filter("verb is not null")
+        out = rows if out is None else out.unionByName(rows)
+        if k < levels:
+            now = now.select(F.explode("c.SUBCLASSES.VNSUBCLASS").alias("c"))
+    return out
 
 
 RELEASE = "_id string, title string, artist string, country string, date string, label array<string>"
