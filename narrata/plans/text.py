@@ -78,7 +78,16 @@ def token_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return t.groupBy("doc_id", S.token_kind(F.col("w")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query()
+_RULES = ", ".join(f"({i}, '{s}', '{o}', {m}, {k})".lower() for i, (s, o, m, k) in enumerate(T.STEM_RULES))
+#: Each step applies the first rule that fits; a word ends where none does or its rule says so.
+STEMS = f"""{TOKENS}, rl(seq, suf, oth, more, fresh) AS (VALUES {_RULES}), wd AS MATERIALIZED (SELECT DISTINCT lower(w) AS word FROM tok),
+sm AS (SELECT word, word AS cur, true AS intact, word IN ({', '.join(f"'{w}'" for w in sorted(T.PROTECTED))}) AS done, 0 AS k FROM wd
+UNION ALL SELECT word, new, false, fin, k + 1 FROM (SELECT sm.word, sm.k, arg_min(substr(cur, 1, length(cur) - length(suf)) || oth, seq) AS new, arg_min(suf = oth OR NOT more, seq) AS fin
+FROM sm JOIN rl ON ends_with(cur, suf) AND (intact OR NOT fresh) AND length(cur) - length(suf) + length(oth) >= 3 WHERE NOT done GROUP BY sm.word, sm.k)),
+stems AS MATERIALIZED (SELECT word, arg_max(cur, k) AS stem FROM sm GROUP BY word)"""
+
+
+@query(f"WITH RECURSIVE {STEMS} SELECT * FROM stems")
 def stem_words(spark: SparkSession, sf: str) -> DataFrame:
     return T.stems(words(spark, sf).select(F.lower("w").alias("word")))
 
@@ -94,7 +103,7 @@ def prefix_strip(spark: SparkSession, sf: str) -> DataFrame:
     return T.strip_prefix(toks.select(F.lower("w").alias("word")).distinct(), prefixes, known_words(toks))
 
 
-@query()
+@query(f"WITH RECURSIVE {STEMS}, kn AS (SELECT lower(w) AS word FROM tok WHERE length(w) <= 32 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5) SELECT word, stem FROM stems WHERE stem <> word AND stem IN (SELECT word FROM kn)")
 def disincline(spark: SparkSession, sf: str) -> DataFrame:
     """Stems that are known words of their own."""
     toks = words(spark, sf)
