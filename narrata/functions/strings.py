@@ -79,3 +79,33 @@ def token_kind(w: Column) -> Column:
     for name, pattern in KINDS[1:]:
         out = out.when(w.rlike(f"^(?:{pattern})$"), name)
     return out
+
+
+#: Words that name times, by kind.
+TIME_WORDS = {
+    "month": "january february march april may june july august september october november december",
+    "weekday": "monday tuesday wednesday thursday friday saturday sunday",
+    "season": "spring summer autumn fall winter",
+    "part_of_day": "morning noon afternoon evening night midnight dawn dusk",
+    "unit": "second seconds minute minutes hour hours day days week weeks month months year years century centuries",
+    "relative": "today tomorrow yesterday tonight now then soon later before after ago",
+}
+
+
+def time_word(c: Column) -> Column:
+    """The kind of a word that names a time, else null."""
+    w = F.lower(c)
+    out = F.when(F.lit(False), "")
+    for kind, ws in TIME_WORDS.items():
+        out = out.when(w.isin(*ws.split()), kind)
+    return out
+
+
+def code_points(c: Column) -> Column:
+    """Characters beyond ASCII as \\uXXXX, of four hexadecimal digits or more."""
+
+    def written(x: Column) -> Column:
+        digits = F.hex(F.ascii(x))
+        return F.when(F.ascii(x) > 127, F.concat(F.lit("\\u"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits))).otherwise(x)
+
+    return F.array_join(F.transform(F.split(c, ""), written), "")

@@ -144,3 +144,28 @@ def isa_from_text(sentences: DataFrame) -> DataFrame:
     """(entity, class) from 'X is a/an/the ... Y' at the beginning of an article's first sentence."""
     m = "^([A-Z][\\w ]*?) (?:is|was) (?:a|an|the) (?:[a-z]+ )*?([a-z]+)(?:[ ]?[,.]| who| that| which| of| in| from)"
     return sentences.select(F.regexp_extract("text", m, 1).alias("entity"), F.regexp_extract("text", m, 2).alias("class")).filter("entity <> ''")
+
+
+def hyponyms(edges: DataFrame) -> DataFrame:
+    """(node, below): the terms right below each."""
+    return edges.select(F.col("parent").alias("node"), F.col("child").alias("below")).distinct()
+
+
+def antonyms(pairs: DataFrame, similar: DataFrame) -> DataFrame:
+    """(word, antonym): pairs in both directions, and those of words that are similar to one of a pair."""
+    both = pairs.select("word", "antonym").union(pairs.select("antonym", "word")).distinct()
+    more = similar.select("word", F.col("synonym").alias("_s")).join(both.select(F.col("word").alias("_s"), "antonym"), "_s").select("word", "antonym")
+    return both.unionByName(more).distinct()
+
+
+def familiarity(senses: DataFrame) -> DataFrame:
+    """(word, senses, familiar): how many senses a word has, in six steps from extremely rare (0) to extremely familiar."""
+    n = senses.groupBy("word").agg(F.count_distinct("sense").alias("senses"))
+    s = F.col("senses")
+    return n.withColumn("familiar", F.when(s <= 1, 1).when(s == 2, 2).when(s <= 4, 3).when(s <= 8, 4).when(s <= 16, 5).otherwise(6))
+
+
+def properties(triples: DataFrame, subject: str, property_: str, alias: str = "alias") -> DataFrame:
+    """Values of a property of the subjects that a name stands for, by their own name or an alias."""
+    ids = triples.filter(F.col("p").isin("name", alias) & (F.lower("o") == subject.lower())).select("s").distinct()
+    return triples.filter(F.col("p") == property_).join(ids, "s").select("s", F.col("o").alias("value"))

@@ -126,3 +126,21 @@ def mix(models: list[tuple[DataFrame, float]]) -> DataFrame:
     out = _parts(out.withColumn("log10", sum((F.col(f"_l{i}") for i in range(len(models))), F.lit(0.0))))
     z = out.groupBy("n", "context").agg(F.log10(F.sum(F.pow(F.lit(10.0), F.col("log10")))).alias("_z"))
     return out.join(z, ["n", "context"]).select("n", "gram", (F.col("log10") - F.col("_z")).alias("log10"))
+
+
+def restrict_to_any(grams: DataFrame, vocabularies: DataFrame) -> DataFrame:
+    """(sent, n, gram): the n-grams whose words all lie in a sentence's vocabulary (sent, word), for each sentence; over all
+    sentences (``distinct``) this is the union of the single filters."""
+    words = grams.select("n", "gram", F.explode(F.array_distinct(F.split("gram", " "))).alias("word"))
+    sizes = grams.select("gram", "n", F.size(F.array_distinct(F.split("gram", " "))).alias("m")).distinct()
+    hits = words.distinct().join(vocabularies.distinct(), "word").groupBy("sent", "n", "gram").agg(F.count("*").alias("k"))
+    return hits.join(sizes, ["n", "gram"]).filter("k = m").select("sent", "n", "gram")
+
+
+def restrict_to_phrases(grams: DataFrame, phrases: DataFrame) -> DataFrame:
+    """The n-grams that are parts of a phrase (words array) as they stand, in order and side by side."""
+    part = F.explode(F.sequence(F.lit(1), F.size("words")))
+    parts = phrases.filter("size(words) > 0").select("words", part.alias("i"))
+    width = F.explode(F.sequence(F.lit(1), F.least(F.size("words") - F.col("i") + 1, F.lit(9))))
+    spans = parts.select("words", "i", width.alias("n")).select(F.array_join(F.slice("words", F.col("i"), F.col("n")), " ").alias("gram")).distinct()
+    return grams.join(spans, "gram", "left_semi")

@@ -267,3 +267,35 @@ def table_build(spark: SparkSession, sf: str) -> DataFrame:
     far = 1_000_000_000
     rows = rows.unionByName(line(c, F.lit(far), F.lit("table: others"))).unionByName(line(c, F.lit(far + 1), F.lit("column: x"))).unionByName(line(c, F.lit(far + 2), F.lit("entry: y")))
     return marked_tables(rows, ["orders"])
+
+
+# -- lexical relations and properties -------------------------------------------------------------------------------
+
+
+@query("SELECT r_name AS node, n_name AS below FROM nation JOIN region ON n_regionkey = r_regionkey")
+def wn_hyponyms(spark: SparkSession, sf: str) -> DataFrame:
+    j = load(spark, sf, "nation").join(load(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return G.hyponyms(j.select(F.col("n_name").alias("child"), F.col("r_name").alias("parent")))
+
+
+@query("""WITH p AS (SELECT DISTINCT lang || ' ' || source AS word, source AS antonym FROM documents), b AS (SELECT word, antonym FROM p UNION SELECT antonym, word FROM p), s AS (SELECT DISTINCT lang AS word, source AS synonym FROM documents)
+SELECT * FROM b UNION SELECT s.word, b.antonym FROM s JOIN b ON b.word = s.synonym""")
+def wn_antonyms(spark: SparkSession, sf: str) -> DataFrame:
+    d = load(spark, sf, "documents")
+    pairs = d.select(F.concat_ws(" ", "lang", "source").alias("word"), F.col("source").alias("antonym")).distinct()
+    return G.antonyms(pairs, d.select(F.col("lang").alias("word"), F.col("source").alias("synonym")).distinct())
+
+
+@query("""SELECT p_brand AS word, count(DISTINCT p_type) AS senses, (CASE WHEN count(DISTINCT p_type) <= 1 THEN 1 WHEN count(DISTINCT p_type) = 2 THEN 2 WHEN count(DISTINCT p_type) <= 4 THEN 3
+WHEN count(DISTINCT p_type) <= 8 THEN 4 WHEN count(DISTINCT p_type) <= 16 THEN 5 ELSE 6 END) AS familiar FROM part GROUP BY 1""")
+def wn_familiarity(spark: SparkSession, sf: str) -> DataFrame:
+    return G.familiarity(load(spark, sf, "part").select(F.col("p_brand").alias("word"), F.col("p_type").alias("sense")))
+
+
+@query("SELECT 'c' || c_custkey AS s, c_mktsegment AS value FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE lower(n_name) = lower('NATION_3') OR lower(r_name) = lower('NATION_3')")
+def onto_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """A property of all subjects that a name stands for: a customer's nation is its name and the region an alias."""
+    c = load(spark, sf, "customer").join(load(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(load(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    fact = lambda p, o: F.struct(F.lit(p).alias("p"), F.col(o).alias("o"))
+    t = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("s"), F.explode(F.array(fact("name", "n_name"), fact("alias", "r_name"), fact("segment", "c_mktsegment"))).alias("x")).select("s", "x.*")
+    return G.properties(t, "NATION_3", "segment")

@@ -192,3 +192,34 @@ ok AS (SELECT n, gram FROM z LEFT JOIN vw USING (word) GROUP BY n, gram HAVING c
 def lm_filter(spark: SparkSession, sf: str) -> DataFrame:
     words = load(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct()
     return L.restrict(L.counts(sentences(spark, sf), ORDER), words).groupBy("n").agg(F.count("*").alias("kept"))
+
+
+_ASKED = "ph AS (SELECT item_id AS sent, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark), sv AS (SELECT DISTINCT sent, unnest(w) AS word FROM ph)"
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "benchmark").select(F.col("item_id").alias("sent"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("words"))
+
+
+_SINGLE = f"""{COUNTS}, {_ASKED}, z AS MATERIALIZED (SELECT DISTINCT n, gram, unnest(string_split(gram, ' ')) AS word FROM r), zm AS (SELECT n, gram, count(*) AS m FROM z GROUP BY 1, 2),
+h AS (SELECT sent, n, gram, count(*) AS k FROM z JOIN sv USING (word) GROUP BY 1, 2, 3), kept AS (SELECT sent, n, gram FROM h JOIN zm USING (n, gram) WHERE k = m)"""
+
+
+@query(f"WITH {_SINGLE} SELECT sent, n::INTEGER AS n, count(*) AS kept FROM kept GROUP BY 1, 2")
+def lm_filter_multiple(spark: SparkSession, sf: str) -> DataFrame:
+    """For each sentence the model that its own words need."""
+    v = _asked(spark, sf).select("sent", F.explode("words").alias("word"))
+    return L.restrict_to_any(L.counts(sentences(spark, sf), ORDER), v).groupBy("sent", "n").agg(F.count("*").alias("kept"))
+
+
+@query(f"WITH {_SINGLE} SELECT n::INTEGER AS n, count(DISTINCT gram) AS kept FROM kept GROUP BY 1")
+def lm_filter_union(spark: SparkSession, sf: str) -> DataFrame:
+    """One model that serves every sentence."""
+    v = _asked(spark, sf).select("sent", F.explode("words").alias("word"))
+    return L.restrict_to_any(L.counts(sentences(spark, sf), ORDER), v).select("n", "gram").distinct().groupBy("n").agg(F.count("*").alias("kept"))
+
+
+@query(f"""WITH {COUNTS}, {_ASKED}, pi AS (SELECT w, unnest(range(1, len(w) + 1)) AS b FROM ph), ps AS (SELECT DISTINCT array_to_string(w[b:b + k - 1], ' ') AS gram FROM pi, (SELECT unnest([1, 2, 3]) AS k) WHERE b + k - 1 <= len(w))
+SELECT n::INTEGER AS n, count(*) AS kept FROM r WHERE gram IN (SELECT gram FROM ps) GROUP BY n""")
+def lm_filter_phrase(spark: SparkSession, sf: str) -> DataFrame:
+    return L.restrict_to_phrases(L.counts(sentences(spark, sf), ORDER), _asked(spark, sf)).groupBy("n").agg(F.count("*").alias("kept"))

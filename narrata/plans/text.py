@@ -128,9 +128,27 @@ def category_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "part").select("p_partkey", S.category(F.col("p_name")).alias("category"))
 
 
-@query(f"""WITH n(w, v) AS (VALUES {', '.join(f"('{x}', {i})" for names in (S.CARDINALS, S.ORDINALS) for i, x in enumerate(names))}), s AS (SELECT unnest(['one', 'Twelfth', 'none', 'twenty']) AS w) SELECT s.w, v AS value FROM s LEFT JOIN n ON lower(s.w) = n.w""")
+_NUMBERS = ", ".join(f"('{x}', {i})" for names in (S.CARDINALS, S.ORDINALS) for i, x in enumerate(names))
+
+
+@query(f"WITH {TOKENS}, n(w, v) AS (VALUES {_NUMBERS}) SELECT doc_id, v AS value, count(*) AS n FROM tok JOIN n ON lower(tok.w) = n.w GROUP BY 1, 2")
 def number_words(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([("one",), ("Twelfth",), ("none",), ("twenty",)], "w string").select("w", S.number_word(F.col("w")).alias("value"))
+    t = words(spark, sf).select("doc_id", S.number_word(F.col("w")).alias("value")).filter("value is not null")
+    return t.groupBy("doc_id", "value").agg(F.count("*").alias("n"))
+
+
+_TIMES = " ".join("WHEN lower(w) IN ({}) THEN '{}'".format(", ".join(f"'{w}'" for w in ws.split()), k) for k, ws in S.TIME_WORDS.items())
+
+
+@query(f"WITH {TOKENS}, k AS (SELECT doc_id, CASE {_TIMES} END AS kind FROM tok) SELECT doc_id, kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY 1, 2")
+def time_words(spark: SparkSession, sf: str) -> DataFrame:
+    return words(spark, sf).select("doc_id", S.time_word(F.col("w")).alias("kind")).filter("kind is not null").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN ord(c) > 127 THEN '\\u' || lpad(to_hex(ord(c)), greatest(4, length(to_hex(ord(c))))::INTEGER, '0') ELSE c END), '')) AS digest FROM documents""")
+def code_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts in ASCII alone, by their digests."""
+    return load(spark, sf, "documents").select("doc_id", F.md5(S.code_points(F.col("text"))).alias("digest"))
 
 
 @query("""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\s]+')) AS w FROM documents) SELECT doc_id, sum(CASE WHEN regexp_full_match(w, '[A-Za-z''-]+') THEN 1 ELSE 0 END)::BIGINT AS latin, count(*) AS n FROM x GROUP BY doc_id""")
