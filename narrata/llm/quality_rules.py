@@ -4,7 +4,8 @@ A table of thresholds (length, symbol, stop-word, line and repetition ratios) is
 a single ``select``: no user functions, no shuffle, one pass over the documents.
 
 Defined results: a null text counts as the empty text (no words, base_failed true); lines without a word never count
-as duplicates; rows are independent, so ties, repeated rows, null ids and extra columns change nothing.
+as duplicates; rows are independent, so ties, repeated rows, null ids and extra columns change nothing; a text of any
+length is judged by the same rules, as one row. Repeated windows of words are told apart by 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ class Rule:
 
 #: The threshold table.
 RULES = (
-    Rule("n_words", low=10, high=2_000_000),
+    Rule("n_words", low=10),
     Rule("mean_word_chars", low=2.0, high=14.0),
     Rule("symbol_word_ratio", high=0.25),
     Rule("stop_word_ratio", low=0.02, least_words=20),

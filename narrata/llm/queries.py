@@ -81,7 +81,7 @@ m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x
       FROM w LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND n_words <= 2000000 AND word_chars / n_words BETWEEN 2.0 AND 14.0 AND n_symbols / n_words <= 0.25
+       NOT base_failed AND word_chars / n_words BETWEEN 2.0 AND 14.0 AND n_symbols / n_words <= 0.25
        AND (n_words < 20 OR n_stop / n_words >= 0.02) AND (n_lines = 0 OR n_dup_lines / n_lines <= 0.5) AND n_repeat_words / n_words <= 0.2 AS kept
 FROM b""",
 }

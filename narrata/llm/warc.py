@@ -12,7 +12,9 @@ the reader goes on to the next member without decoding the payload. Members from
 archive that is cut off, or has a record that can't be read, is an error.
 
 Defined results: a null payload is the empty payload; a null target_uri, digest or date leaves its header out; line
-ends in header values are percent-encoded; records come in file order; an empty table makes an archive without files.
+ends in header values are percent-encoded; records come in file order; an empty table makes an archive without files. A
+payload is held in memory whole, once for a record. Pages: of rows without a page_id the first payload's holder is still
+that of the least page_id, so such a row with a payload seen elsewhere revisits it, and one of its own is a response.
 """
 
 from __future__ import annotations

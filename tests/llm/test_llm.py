@@ -643,3 +643,30 @@ def test_pipeline(spark, sf):
     out = stage["token-id store"](spark, d, sf)
     want = expected_tokens([(r["doc_id"], r["text"]) for r in d.collect()])
     assert sorted((r["doc_id"], r["n_tokens"]) for r in out.collect()) == sorted((i, len(t)) for i, t in want)
+
+
+def test_pipeline_on_odd_tables(spark, odd, empty, tmp_path):
+    """All stages end to end on nulls, repeats, long texts and columns of any name, and on an empty table."""
+    import corpus_pipeline as P
+
+    rng = random.Random(31)
+    good = [(1000 + i, sentence(rng, 40), "en", "s", 200, 0.1, "k", True) for i in range(60)]
+    bad = [(2000 + i, "### !!! $$$ " * 30, "en", "s", 360, 0.1, "k", True) for i in range(60)]
+    docs = odd.unionByName(spark.createDataFrame(good + bad, SCHEMA)).withColumns({"rate": F.lit("mine"), "row": F.lit("mine"), "_key": F.lit("mine"), "n_tokens": F.lit("mine")})
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in good] + [(r[0], 0, 0) for r in bad], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, good[3][1]), (2, None)], "item_id long, text string")
+    for name, table in (("some", docs), ("none", docs.limit(0))):
+        where = f"file://{tmp_path}/{name}"
+        table.write.parquet(f"{where}/documents.parquet")
+        labels.write.parquet(f"{where}/labels.parquet")
+        bench.write.parquet(f"{where}/benchmark.parquet")
+        now = spark.read.parquet(f"{where}/documents.parquet")
+        for k, (_, stage) in enumerate(P.STAGES):
+            made = stage(spark, now, where)
+            assert made.columns == docs.columns or k == len(P.STAGES) - 1
+            made.write.parquet(f"{where}/{k}")
+            now = spark.read.parquet(f"{where}/{k}")
+            if k < len(P.STAGES) - 1:
+                assert now.filter("rate <> 'mine' or row <> 'mine' or _key <> 'mine' or n_tokens <> 'mine'").count() == 0
+        ids = [r["doc_id"] for r in now.select("doc_id").collect()]
+        assert (not ids) if name == "none" else (len(set(ids) & set(range(1000, 1060))) > 30 and 1003 not in ids and not set(ids) & set(range(2000, 2060)))
