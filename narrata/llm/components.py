@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, staged, unstage
+from .common import apart, forget, staged, unstage
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -34,6 +34,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(x, r) for x in root if (r := find(x)) != x]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=kind) for k in (0, 1)], names=["a", "b"])
 
+    forget()
     kind = None
     for batch in batches:
         kind = batch.column("a").type
@@ -41,7 +42,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = find(root.setdefault(a, a)), find(root.setdefault(b, b))
             if x != y:
                 root[max(x, y)] = min(x, y)
-        if len(root) > 500_000:
+        if len(root) > 200_000:
             yield stars()
             root.clear()
     if root:
