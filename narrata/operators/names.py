@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import number_word
+from .graph import cut
 
 PARTS = ("hon", "first", "middle", "last", "suffix", "any")
 FEMALE = ("mrs", "miss", "ms", "lady")
@@ -60,11 +61,58 @@ def neuter(a: str) -> Column:
     return x["hon"].isNull() & x["first"].isNull() & x["last"].isNull()
 
 
+def kinds_paired(left: DataFrame, right: DataFrame, blocks: list[str], keep: Column, **more: Column) -> DataFrame:
+    """(blocks, x, y, more): different names of a block that ``keep``, a condition on x and y, holds for; copies of a name are judged once."""
+    a, b = (df.select(*blocks, F.col("n").alias(n)).distinct() for df, n in ((left, "x"), (right, "y")))
+    return a.join(b, blocks).filter(keep).select(*blocks, "x", "y", *[c.alias(n) for n, c in more.items()])
+
+
+def _named(kinds: DataFrame, names: DataFrame, blocks: list[str], kind: str, id: str) -> DataFrame:
+    """Each kind (column ``kind``) with the ids of all names that are equal to it, in place of it."""
+    n = names.select(*[F.col(c).alias(f"_{c}") for c in blocks], F.col("id").alias(id), F.col("n").alias("_n"))
+    on = F.col(kind).eqNullSafe(F.col("_n"))
+    for c in blocks:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    return kinds.join(n, on).drop(kind, "_n", *[f"_{c}" for c in blocks])
+
+
+def paired(left: DataFrame, right: DataFrame, blocks: list[str], keep: Column, **more: Column) -> DataFrame:
+    """(a, b, more): all pairs of names that share a block and that ``keep`` holds for; both sides have id, name struct ``n``
+    and the block columns."""
+    p = _named(kinds_paired(left, right, blocks, keep, **more), right, blocks, "y", "b")
+    return _named(p, left, blocks, "x", "a").select("a", "b", *more)
+
+
 def link(left: DataFrame, right: DataFrame, blocks: list[str]) -> DataFrame:
-    """Pairs of like names that share a block; both sides have id, name struct ``n`` and the block columns."""
-    a = left.select(*blocks, F.col("id").alias("a"), F.col("n").alias("x"))
-    b = right.select(*blocks, F.col("id").alias("b"), F.col("n").alias("y"))
-    return a.join(b, blocks).filter(like("x", "y")).withColumn("sure", confident("x", "y")).select("a", "b", "sure")
+    """Pairs of like names that share a block."""
+    return paired(left, right, blocks, like("x", "y"), sure=confident("x", "y"))
+
+
+def components(left: DataFrame, right: DataFrame, blocks: list[str]) -> DataFrame:
+    """(node, root): the least id of all names that confident links connect; ids are strings, different on the two sides.
+
+    Equal names have equal links, so links are drawn between kinds, each under its least id (``rep``); an id that has
+    several names connects their kinds. Least ids spread by rounds of joins."""
+    pairs = cut(kinds_paired(left, right, blocks, confident("x", "y")))
+    sides = {"x": left, "y": right}
+    member = {k: cut(_named(pairs.select(*blocks, k, F.col(k).alias("kind")).distinct(), df, blocks, k, "node").filter("node is not null")) for k, df in sides.items()}
+    reps = {k: m.groupBy(*blocks, "kind").agg(F.min("node").alias("id")).withColumnRenamed("kind", "n") for k, m in member.items()}
+    e = _named(_named(pairs, reps["x"], blocks, "x", "u"), reps["y"], blocks, "y", "v").select("u", "v")
+    of = None
+    for k, m in member.items():
+        m = _named(m, reps[k], blocks, "kind", "rep").select("node", "rep")
+        of = m if of is None else of.unionByName(m)
+    of = cut(of)
+    first = of.groupBy("node").agg(F.min("rep").alias("first"))
+    e = e.unionByName(of.join(first, "node").filter("rep <> first").select(F.col("first").alias("u"), F.col("rep").alias("v")))
+    d = cut(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    now = cut(d.groupBy(F.col("u").alias("rep")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
+    while True:
+        near = d.join(now.select(F.col("rep").alias("v"), "root"), "v").groupBy(F.col("u").alias("rep")).agg(F.min("root").alias("other"))
+        new = cut(now.join(near, "rep", "left").select("rep", F.least("root", "other").alias("root"), (F.col("other") < F.col("root")).alias("moved")))
+        if new.filter("moved").isEmpty():
+            return first.join(new.select(F.col("rep").alias("first"), "root"), "first").select("node", "root")
+        now = new.select("rep", "root")
 
 
 def ambiguous(names: DataFrame) -> DataFrame:
